@@ -7,7 +7,7 @@ buckets are compared by brute force, and the runs are repeated until the target
    shuffle. Texts that chose the same n-gram meet in its bucket; a bucket of one needs no pool.
 3. A large bucket first ties its texts to one pivot: what is nearly the pivot needs no other comparison here,
    since by the triangle inequality of the Jaccard distance all its partners in the bucket are tied to the pivot
-   as well. The rest is split by further n-grams of the pools. What is still large after ``DEPTH`` splits is
+   as well; nor does a bucket that is tied to it as a whole. The rest is split by further n-grams of the pools. What is still large after ``DEPTH`` splits is
    compared in blocks, so nothing is capped.
 4. Brute force in buckets compares pools and ties what may be similar; ties make candidate clusters, and every
    pair within a cluster is verified on the whole sets, large clusters in pairs of blocks. Only counts and ties
@@ -34,8 +34,8 @@ POOL = 80
 #: miss a pair of 0.8 with a chance of exp(-0.8 * runs).
 RECALL = 0.9995
 #: N-grams that a member of a large bucket chooses for the next split.
-BRANCHES, DEPTH = 2, 3
-BUCKET = 256
+BRANCHES, DEPTH = 2, 2
+BUCKET = 512
 #: Similarity of pools from which two texts are tied; near enough to the pivot to need nothing else.
 TIE, ABSORB = 0.35, 0.8
 #: Texts of a cluster that one task verifies; a larger cluster is verified in pairs of blocks of half as many.
@@ -207,12 +207,12 @@ def candidates(reps: DataFrame, *, recall: float = RECALL, similar: float = SIMI
         near = big.join(pivot, "path").withColumn("common", common).withColumn("like", F.col("common") / (F.size("pool") + F.size("held") - F.col("common")))
         near = cut(near.select("path", "rep", "pool", "pivot", "like"), "jaccard-near")
         ties.append(near.where((F.col("like") >= TIE) & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
-        rest = near.where(F.col("like") < ABSORB).select("path", "rep", "pool")
-        rest = rest.join(rest.groupBy("path").agg(F.count("*").alias("size")), "path").where("size > 1")
+        left = near.groupBy("path").agg(F.count_if(F.col("like") < TIE).alias("untied"), F.count_if(F.col("like") < ABSORB).alias("size")).where("untied > 0 AND size > 1")
+        rest = near.where(F.col("like") < ABSORB).select("path", "rep", "pool").join(left.select("path", "size"), "path")
         small.append(rest.where(F.col("size") <= BUCKET).select("path", F.lit(0).cast("bigint").alias("side"), "rep"))
         rest = rest.where(F.col("size") > BUCKET)
         if depth <= DEPTH:
-            chosen = F.slice(F.array_sort(F.transform("pool", lambda x: F.struct(F.xxhash64("path", x).alias("h"), x.alias("x")))), 1, BRANCHES)
+            chosen = F.slice(F.array_sort(F.transform(F.filter("pool", lambda x: x != F.col("path")), lambda x: F.struct(F.xxhash64("path", x).alias("h"), x.alias("x")))), 1, BRANCHES)
             rows = cut(_sized(rest.select("rep", F.explode(F.transform(chosen, lambda c: F.xxhash64(c.h, c.x, F.lit(depth)))).alias("path"))), "jaccard-buckets")
         else:  # what no split makes small: blocks against blocks
             blocks = F.ceil(F.col("size") / (BUCKET // 2)).cast("int")
