@@ -172,7 +172,7 @@ def read(spark, path: str) -> DataFrame:
                 if rows:
                     yield _batch(rows, kinds, [f.name for f in wide])
 
-    parsed = cut(files.mapInArrow(parse, T.StructType(wide)), "warc-records")
+    parsed = files.mapInArrow(parse, T.StructType(wide))  # both branches parse the files: cheaper than one more copy
     whole = parsed.where(F.col("origin").isNull()).select(*_NAMES)
     sets = parsed.where(F.col("origin").isNotNull()).groupBy("origin").agg(
         F.sort_array(F.collect_list(F.struct("number", "block"))).alias("parts"), F.max("total").alias("total"), F.max("head").alias("head")
