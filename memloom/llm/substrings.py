@@ -28,6 +28,8 @@ from memloom.llm.shared import chunks, cover, cut, fields, first_windows, free_n
 
 WINDOW = 20
 ROUNDS = 2
+#: Bytes of text that one numpy step handles.
+STEP_BYTES = 1 << 19
 #: Bits of the map of repeated symbols (32 MiB), whatever the corpus; a full map costs time and changes no result.
 MAP_BITS = 1 << 28
 #: Bytes of ranges of first places that are broadcast to the last scan; beyond it they are joined to the documents.
@@ -127,7 +129,7 @@ def repeated_symbols(docs: DataFrame, text: str, n: int) -> np.ndarray:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, offsets in chunks(batch, text):
+            for _, data, offsets in chunks(batch, text, STEP_BYTES):
                 _, _, first, words = _words(data, offsets)
                 _, chosen, keys = filed(words, first, n)
                 _, one = np.unique(chosen, return_index=True)
@@ -170,7 +172,7 @@ def _first_places(docs: DataFrame, table, text: str, doc_id: str, n: int) -> Dat
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in chunks(batch, text):
+            for part, data, offsets in chunks(batch, text, STEP_BYTES):
                 _, _, first, words = _words(data, offsets)
                 at, _, keys = filed(words, first, n)
                 at = at[_is_set(table.value, keys)]
@@ -234,7 +236,7 @@ def _apply(docs: DataFrame, text: str, doc_id: str, n: int, names: list[str], mo
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part, data, offsets in chunks(batch, text):
+                for part, data, offsets in chunks(batch, text, STEP_BYTES):
                     got = _removed(part, data, offsets, table.value, doc_id, n, lambda r, i, m: shared.value.get((i, m), (empty, empty)))
                     yield result(part, data, offsets, *got)
 
@@ -246,7 +248,7 @@ def _apply(docs: DataFrame, text: str, doc_id: str, n: int, names: list[str], mo
 
     def scan_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in chunks(batch, text):
+            for part, data, offsets in chunks(batch, text, STEP_BYTES):
                 column = part.column(ident + "_ranges")
 
                 def ranges_of(r, i, m, column=column):
