@@ -57,7 +57,7 @@ def extract_tree(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, budget: f
     rows = nodes.select("qid", F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), F.lit(0.0).alias("w"), F.lit("n").alias("kind")).union(
         edges.select("qid", "src", "dst", "weight", F.lit("e"))).union(seeds.select("qid", "id", F.lit(None).cast("bigint"), F.lit(0.0), F.lit("s")))
 
-    def greedy(key, part: pd.DataFrame) -> pd.DataFrame:
+    def greedy(key, part):
         ids = sorted({int(x) for x in part[part.kind == "n"].a})
         links = sorted({(int(a), int(b), float(w)) for a, b, w in part[part.kind == "e"][["a", "b", "w"]].itertuples(index=False)})
         if not links:
