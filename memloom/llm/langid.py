@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memloom.llm.shared import CHUNK_BYTES, chunks, fields, free_name
+from memloom.llm.shared import chunks, fields
 
 #: Labelled documents that the likelihoods are learned from, at most about this many of all languages.
 SAMPLE_DOCUMENTS = 20_000
 #: Hashed byte n-grams of one to three bytes with the word borders among them.
 BUCKETS = 4_096
+#: Documents of one numpy step: a row of all buckets is 16 KiB.
+CHUNK_ROWS = 400
 SMOOTH = 0.5
 STEPS = 8
 #: Natural-log likelihood that one more language must gain, times the log of the n-grams; n-grams overlap, so this
@@ -117,7 +119,7 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: st
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part, data, offsets in chunks(batch, "text"):
+            for part, data, offsets in chunks(batch, "text", rows=CHUNK_ROWS):
                 seen, langs = counts(data, offsets), np.array(part.column("lang").to_pylist(), object)
                 for k in set(langs):
                     totals[k] = totals.get(k, 0) + seen[langs == k].sum(0, dtype=np.float64)
@@ -144,7 +146,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[s
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for part, data, offsets in chunks(batch, text, CHUNK_BYTES):
+            for part, data, offsets in chunks(batch, text, rows=CHUNK_ROWS):
                 n = len(part)
                 seen = counts(data, offsets)
                 pred, score, sets, foreign = [UNKNOWN] * n, [0.0] * n, [{}] * n, [False] * n
@@ -173,6 +175,7 @@ def report(docs: DataFrame, *, text: str = "text", lang: str = "lang", **options
 def keep_known(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents whose text is in a learned language, byte for byte; those that are ``und`` or foreign go."""
     model = learn(docs, text=text, lang=lang)
-    own = free_name(docs, "row_keep")
-    packed = docs.select(F.struct(*docs.columns).alias(own), F.col(text).alias(text))
-    return identify(packed, model, text=text, keep=(own,)).where((F.col("lang_pred") != UNKNOWN) & ~F.col("foreign")).select(f"{own}.*")
+    names = [f"column{k}_" for k in range(len(docs.columns))]  # so that no result column clashes with one of docs
+    own = names[[c.lower() for c in docs.columns].index(text.lower())]
+    known = identify(docs.toDF(*names), model, text=own, keep=tuple(names)).where((F.col("lang_pred") != UNKNOWN) & ~F.col("foreign"))
+    return known.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))

@@ -14,7 +14,7 @@ from memloom.sources.scratch import cut, scratch, shared_dir
 __all__ = ["CHUNK_BYTES", "chunks", "cover", "cut", "fields", "first_windows", "free_name", "mix", "powers", "row_hashes", "scratch", "shared_dir", "text_bytes", "window_hashes", "word_bounds", "word_hashes"]
 
 #: Bytes of text that one numpy step handles; the arrays made from them stay below about 40 times this.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 def fields(ddl: str) -> list[T.StructField]:
     """The fields of a DDL string (on the driver)."""
@@ -44,12 +44,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def chunks(batch: pa.RecordBatch, name: str, size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of a batch of about ``size`` bytes of text (one row at least), with that text and its offsets."""
+def chunks(batch: pa.RecordBatch, name: str, size: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch of about ``size`` bytes of text (one row at least) and at most ``rows`` rows, with that text
+    and its offsets."""
     data, offsets = text_bytes(batch.column(name))
     lo = 0
     while lo < len(batch):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1))
         yield batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 
