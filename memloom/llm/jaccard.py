@@ -208,17 +208,19 @@ def candidates(reps: DataFrame, *, recall: float = RECALL, similar: float = SIMI
         near = cut(near.select("path", "rep", "pool", "pivot", "like"), "jaccard-near")
         ties.append(near.where((F.col("like") >= TIE) & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
         left = near.groupBy("path").agg(F.count_if(F.col("like") < TIE).alias("untied"), F.count_if(F.col("like") < ABSORB).alias("size")).where("untied > 0 AND size > 1")
-        rest = near.where(F.col("like") < ABSORB).select("path", "rep", "pool").join(left.select("path", "size"), "path")
+        rest = near.where(F.col("like") < ABSORB).select("path", "rep", "pool", (F.col("like") < TIE).alias("lone")).join(left, "path")
         small.append(rest.where(F.col("size") <= BUCKET).select("path", F.lit(0).cast("bigint").alias("side"), "rep"))
         rest = rest.where(F.col("size") > BUCKET)
         if depth <= DEPTH:
             chosen = F.slice(F.array_sort(F.transform(F.filter("pool", lambda x: x != F.col("path")), lambda x: F.struct(F.xxhash64("path", x).alias("h"), x.alias("x")))), 1, BRANCHES)
             rows = cut(_sized(rest.select("rep", F.explode(F.transform(chosen, lambda c: F.xxhash64(c.h, c.x, F.lit(depth)))).alias("path"))), "jaccard-buckets")
-        else:  # what no split makes small: blocks against blocks
-            blocks = F.ceil(F.col("size") / (BUCKET // 2)).cast("int")
-            own = rest.select("path", "rep", blocks.alias("blocks"), F.pmod(F.xxhash64("rep", F.lit(7)), blocks).cast("int").alias("block"))
-            other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (F.least("block", o) * F.lit(1 << 31) + F.greatest("block", o)).cast("bigint")))
-            small.append(own.select("path", other.alias("side"), "rep"))
+        else:  # what no split makes small: blocks of texts that aren't tied to the pivot against all blocks
+            lone, tied = (F.ceil(c / BUCKET).cast("int") for c in (F.col("untied"), F.col("size") - F.col("untied")))
+            place = lambda n: F.pmod(F.xxhash64("rep", F.lit(7)), F.greatest(n, F.lit(1))).cast("int")
+            own = rest.select("path", "rep", "lone", lone.alias("n"), (lone + tied).alias("m"), F.when(F.col("lone"), place(lone)).otherwise(lone + place(tied)).alias("block"))
+            others = F.sequence(F.lit(0), F.when(F.col("lone"), F.col("m")).otherwise(F.col("n")) - 1)
+            side = F.explode(F.transform(others, lambda o: (F.least("block", o) * F.lit(1 << 31) + F.greatest("block", o)).cast("bigint")))
+            small.append(own.select("path", side.alias("side"), "rep"))
     rows = small[0]
     for more in small[1:]:
         rows = rows.unionByName(more)
