@@ -7,8 +7,8 @@ buckets are compared by brute force, and the runs are repeated until the target
    shuffle. Texts that chose the same n-gram meet in its bucket; a bucket of one needs no pool.
 3. A large bucket first ties its texts to one pivot: what is nearly the pivot needs no other comparison here,
    since by the triangle inequality of the Jaccard distance all its partners in the bucket are tied to the pivot
-   as well; nor does a bucket that is tied to it as a whole. The rest is split by further n-grams of the pools. What is still large after ``DEPTH`` splits is
-   compared in blocks, so nothing is capped.
+   as well; nor does a bucket that is tied to it as a whole. The rest is split by further n-grams of the pools,
+   while that makes large buckets fewer. What is large then is compared in blocks, so nothing is capped.
 4. Brute force in buckets compares pools and ties what may be similar; ties make candidate clusters, and every
    pair within a cluster is verified on the whole sets, large clusters in pairs of blocks. Only counts and ties
    leave a task, never pairs.
@@ -33,8 +33,9 @@ POOL = 80
 #: A run meets a pair of similarity s with a chance of about 1 - exp(-s / (1 - s / 2) / 1.25) or more; so many runs
 #: miss a pair of 0.8 with a chance of exp(-0.8 * runs).
 RECALL = 0.9995
-#: N-grams that a member of a large bucket chooses for the next split.
-BRANCHES, DEPTH = 2, 2
+#: N-grams that a member of a large bucket chooses for the next split. Splits go on while each leaves less than
+#: this share of the rows in large buckets, so many times at most.
+BRANCHES, SHRINKS, DEPTH = 1, 0.5, 8
 BUCKET = 512
 #: Similarity of pools from which two texts are tied; near enough to the pivot to need nothing else.
 TIE, ABSORB = 0.35, 0.8
@@ -195,10 +196,12 @@ def candidates(reps: DataFrame, *, recall: float = RECALL, similar: float = SIMI
     paths = reps.select("rep", F.explode(F.slice("pool", 1, runs_for(recall, similar))).alias("path"))
     rows = cut(_sized(paths), "jaccard-buckets")
     ties, small = [], []
+    before = None
     for depth in range(1, DEPTH + 2):
         small.append(rows.where(F.col("size") <= BUCKET).select("path", F.lit(0).cast("bigint").alias("side"), "rep"))
         big = rows.where(F.col("size") > BUCKET)
-        if big.isEmpty():
+        now = big.count()
+        if not now:
             break
         big = cut(big.join(reps.select("rep", "pool"), "rep"), "jaccard-big")
         pivot = big.groupBy("path").agg(F.min("rep").alias("pivot"))
@@ -209,9 +212,12 @@ def candidates(reps: DataFrame, *, recall: float = RECALL, similar: float = SIMI
         ties.append(near.where((F.col("like") >= TIE) & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
         left = near.groupBy("path").agg(F.count_if(F.col("like") < TIE).alias("untied"), F.count_if(F.col("like") < ABSORB).alias("size")).where("untied > 0 AND size > 1")
         rest = near.where(F.col("like") < ABSORB).select("path", "rep", "pool", (F.col("like") < TIE).alias("lone")).join(left, "path")
+        rest = cut(rest, "jaccard-rest")
         small.append(rest.where(F.col("size") <= BUCKET).select("path", F.lit(0).cast("bigint").alias("side"), "rep"))
         rest = rest.where(F.col("size") > BUCKET)
-        if depth <= DEPTH:
+        last = depth > DEPTH or before is not None and now > SHRINKS * before
+        before = now
+        if not last:
             chosen = F.slice(F.array_sort(F.transform(F.filter("pool", lambda x: x != F.col("path")), lambda x: F.struct(F.xxhash64("path", x).alias("h"), x.alias("x")))), 1, BRANCHES)
             rows = cut(_sized(rest.select("rep", F.explode(F.transform(chosen, lambda c: F.xxhash64(c.h, c.x, F.lit(depth)))).alias("path"))), "jaccard-buckets")
         else:  # what no split makes small: blocks of texts that aren't tied to the pivot against all blocks
@@ -221,6 +227,7 @@ def candidates(reps: DataFrame, *, recall: float = RECALL, similar: float = SIMI
             others = F.sequence(F.lit(0), F.when(F.col("lone"), F.col("m")).otherwise(F.col("n")) - 1)
             side = F.explode(F.transform(others, lambda o: (F.least("block", o) * F.lit(1 << 31) + F.greatest("block", o)).cast("bigint")))
             small.append(own.select("path", side.alias("side"), "rep"))
+            break
     rows = small[0]
     for more in small[1:]:
         rows = rows.unionByName(more)
