@@ -158,3 +158,31 @@ def role(sentence: Column) -> Column:
     for name, cues in ROLE_CUES:
         out = out.when(has_any(sentence, cues), name)
     return out.otherwise("fact")
+
+
+def pack(spans: Column, least: int = 80, most: int = 250) -> Column:
+    """Adjacent spans joined by a space into chunks: one ends when it has ``least`` words and the next span would
+    take it beyond ``most``. A longer single span stays whole; chunks below three words go."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("n"))
+
+    def step(acc: Column, span: Column) -> Column:
+        k = F.size(words(span))
+        full = (acc["n"] >= least) & (acc["n"] + k > most)
+        done = F.when(full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"])
+        now = F.when(full | (acc["n"] == 0), span).otherwise(F.concat(acc["now"], F.lit(" "), span))
+        return F.struct(done.alias("done"), now.alias("now"), F.when(full, k).otherwise(acc["n"] + k).alias("n"))
+
+    chunks = F.aggregate(spans, start, step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
+    return F.filter(chunks, lambda c: F.size(words(c)) >= 3)
+
+
+def support_tag(answer: Column) -> Column:
+    """Score of a checker's last bracketed verdict; null where there is none."""
+    tags = F.regexp_extract_all(answer, F.lit(r"(?i)\[(Supported|Not Supported|Irrelevant)\]"), 1)
+    last = F.lower(F.try_element_at(tags, F.lit(-1)))
+    return F.when(last.startswith("not"), 0.10).when(last == "irrelevant", 0.05).when(last.isNotNull(), 0.85)
+
+
+def is_fabricated_bio(text: Column, buffer: Column) -> Column:
+    """Three kinds of personal attributes or more, with fewer than two names that the buffer holds."""
+    return (bio_attributes(text) >= 3) & (anchors(text, buffer) < 2)

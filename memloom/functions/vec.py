@@ -18,8 +18,8 @@ def norm(a: Column) -> Column:
 
 def l2_normalize(a: Column) -> Column:
     """v / |v|; unchanged if the norm is below 1e-12."""
-    n = norm(a)
-    return F.when(n < TINY, a).otherwise(F.transform(a, lambda x: x / n))
+    n = norm(a)  # repeated as an array, for a lambda would compute it again at each element
+    return F.when(n < TINY, a).otherwise(F.zip_with(a, F.array_repeat(n, F.size(a)), lambda x, m: x / m))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -69,3 +69,16 @@ def signed_weight(edge_type: Column, x: Column) -> Column:
 
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
+
+
+# Prompts and weights that hash vectors depend on.
+FORWARD_PROMPT = "Forward describe — what comes next or follows from: "
+BACKWARD_PROMPT = "Backward describe — what came before or causes: "
+HASH_SHARES = 0.7, 0.3
+
+
+def hash_period(prompt: str, text: Column, seed: int) -> Column:
+    """The eight little-endian 32-bit words of a SHA-256, scaled to -1 .. 1."""
+    h = F.sha2(F.concat(F.lit(f"{prompt}::"), text, F.lit(f"::{seed}")), 256)
+    word = lambda k: F.conv(F.concat(*[F.substring(h, 8 * k + 2 * b + 1, 2) for b in (3, 2, 1, 0)]), 16, 10).cast("double")
+    return F.array(*[word(k) / (2**32 - 1) * 2 - 1 for k in range(8)])

@@ -182,3 +182,31 @@ def induce(pairs: DataFrame, directional: float = 0.2) -> DataFrame:
     rows = scored.select("cos", F.explode(chosen).alias("e")).select("e.*", "cos")
     kind = edge_type(F.lit(""), F.lit(""), F.col("gamma_score"), F.col("gamma_anti"))
     return rows.withColumn("edge_type", kind).withColumn("weight", vec.signed_weight(F.col("edge_type"), F.col("cos"))).select("src", "dst", "edge_type", "weight", "gamma_score", "gamma_anti")
+
+
+def potentials(nodes: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """(id, component, x): values that agree along a tree of shortest ways from each component's least node, where
+    an edge asks that its source be its type's sign times its target. As many rounds as the graph is deep."""
+    sign = F.coalesce(F.create_map(*[F.lit(x) for kv in SIGNS.items() for x in kv])[F.col("edge_type")], F.lit(0.5))
+    arcs = edges.where("src <> dst").select(F.col("src").alias("u"), F.col("dst").alias("v"), (1 / sign).alias("gain")).union(edges.where("src <> dst").select("dst", "src", sign))
+    arcs = cut(arcs.groupBy("u", "v").agg(F.min("gain").alias("gain")), "arcs")
+    own = cut(components(nodes, edges), "potentials")
+    known = new = cut(own.where("id = component").withColumn("x", F.lit(1.0)), "potentials")
+    for _ in range(rounds):
+        step = new.join(arcs, F.col("id") == F.col("u")).groupBy(F.col("v").alias("id"), "component").agg(F.min(F.col("x") * F.col("gain")).alias("x"))
+        new = cut(step.join(known.select("id"), "id", "left_anti"), "potentials")
+        if new.isEmpty():
+            break
+        known = cut(known.unionByName(new), "potentials")
+    return known
+
+
+def harmonic_dimension(nodes: DataFrame, edges: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """(component, harmonic): whether values other than 0 meet all its edges, which they do where the signs round
+    every cycle multiply to one. The number of true rows is the dimension of the sheaf Laplacian's kernel."""
+    x = potentials(nodes, edges)
+    sign = F.coalesce(F.create_map(*[F.lit(v) for kv in SIGNS.items() for v in kv])[F.col("edge_type")], F.lit(0.5))
+    ends = edges.join(x.select(F.col("id").alias("src"), "component", F.col("x").alias("a")), "src").join(x.select(F.col("id").alias("dst"), F.col("x").alias("b")), "dst")
+    off = F.abs(F.col("a") - sign * F.col("b")) > tolerance * (F.abs("a") + F.abs("b"))
+    broken = ends.where(off).select("component").distinct().withColumn("broken", F.lit(True))
+    return x.select("component").distinct().join(broken, "component", "left").select("component", F.col("broken").isNull().alias("harmonic"))
