@@ -19,7 +19,7 @@ SAMPLE_DOCUMENTS = 20_000
 #: Hashed byte n-grams of one to three bytes with the word borders among them.
 BUCKETS = 4_096
 #: Documents of one numpy step: a row of all buckets is 16 KiB.
-CHUNK_ROWS = 400
+CHUNK_ROWS = 100
 SMOOTH = 0.5
 STEPS = 8
 #: Natural-log likelihood that one more language must gain, times the log of the n-grams; n-grams overlap, so this

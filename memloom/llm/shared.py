@@ -46,13 +46,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(batch: pa.RecordBatch, name: str, size: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch of about ``size`` bytes of text (one row at least) and at most ``rows`` rows, with that text
-    and its offsets."""
+    and its offsets. Arrow's free memory goes back to the system after each batch."""
     data, offsets = text_bytes(batch.column(name))
     lo = 0
     while lo < len(batch):
         hi = min(lo + rows, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1))
         yield batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+    pa.default_memory_pool().release_unused()
 
 
 def word_bounds(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
