@@ -33,9 +33,11 @@ POOL = 80
 #: A run meets a pair of similarity s with a chance of about 1 - exp(-s / (1 - s / 2) / 1.25) or more; so many runs
 #: miss a pair of 0.8 with a chance of exp(-0.8 * runs).
 RECALL = 0.9995
-#: N-grams that a member of a large bucket chooses for the next split. Splits go on while each leaves less than
-#: this share of the rows in large buckets, so many times at most.
-BRANCHES, SHRINKS, DEPTH = 1, 0.5, 8
+#: N-grams that a member of a large bucket chooses for the next split. A pair shares 0.67 to 0.8 of its pools, so of
+#: one chosen n-gram each split would lose a share; of two it keeps more than one on average, and what ten paths lose
+#: stays below 1 - RECALL at any depth. Splits go on while each leaves less than this share of the rows in large
+#: buckets, so many times at most.
+BRANCHES, SHRINKS, DEPTH = 2, 0.5, 8
 BUCKET = 512
 #: Similarity of pools from which two texts are tied; near enough to the pivot to need nothing else.
 TIE, ABSORB = 0.35, 0.8

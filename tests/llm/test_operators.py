@@ -91,6 +91,38 @@ def test_jaccard_against_brute_force(spark, monkeypatch):
     assert kept.columns == docs_of(spark, texts).columns and kept.count() == len({r.class_id for r in got.values()})
 
 
+@pytest.mark.parametrize("shared, others", [(64, 16), (71, 9)])
+def test_jaccard_recall_in_large_buckets(shared, others):
+    """A pair that meets in large buckets only, at every split, by the rule's own numbers: pools of 80 that share
+    64 (one text contains the other, Jaccard 0.8) or 71 (equal sizes)."""
+    rng, pairs, runs, paths = np.random.default_rng(5), 4000, jaccard.runs_for(), 24
+
+    def common(chosen):  # shared among the least ``chosen`` of both pools; the last columns are of one pool only
+        h = rng.random((pairs, shared + 2 * (80 - shared)), np.float32)
+        one, two = h[:, :80], np.concatenate([h[:, :shared], h[:, 80:]], 1)
+        a, b = (np.partition(x, chosen - 1, 1)[:, chosen - 1 : chosen] for x in (one, two))
+        return (h[:, :shared] <= np.minimum(a, b)).sum(1)
+
+    live = common(runs)
+    for _ in range(jaccard.DEPTH):
+        new = np.zeros(pairs, int)
+        for k in range(min(paths, int(live.max()))):
+            new += np.where(live > k, common(jaccard.BRANCHES), 0)
+        live = np.minimum(new, paths)
+    assert (live == 0).mean() <= 1 - jaccard.RECALL
+
+
+def test_jaccard_pairs_in_large_buckets_only(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BUCKET", 4)
+    rnd = random.Random(4)
+    passages = [" ".join(f"p{k}x{j}" for j in range(100)) for k in range(60)]
+    drawn = [rnd.sample(passages, 10) for _ in range(1200)]
+    texts = [" ".join(own) for own in drawn] + [" ".join(own[:8]) + f" {own[8][:250]}" for own in drawn[:150]]
+    got = {r.doc_id: r for r in jaccard.report(docs_of(spark, texts)).collect()}
+    missed = [k for k in range(150) if got[1200 + k].class_id != k or not got[k].n_links]
+    assert not missed
+
+
 def test_secrets(spark):
     texts = ["password=abcdefgh1 x", "secret: token: abcdefghij", "AKIA" + "A" * 16, "f" * 32 + "g", "paſſword=abcdefgh1", None, ""]
     got = {r.doc_id: r for r in secrets.report(docs_of(spark, texts)).collect()}
