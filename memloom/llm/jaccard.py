@@ -220,7 +220,9 @@ def candidates(reps: DataFrame, *, recall: float = RECALL, similar: float = SIMI
         last = depth > DEPTH or before is not None and now > SHRINKS * before
         before = now
         if not last:
-            chosen = F.slice(F.array_sort(F.transform(F.filter("pool", lambda x: x != F.col("path")), lambda x: F.struct(F.xxhash64("path", x).alias("h"), x.alias("x")))), 1, BRANCHES)
+            other = F.filter("pool", lambda x: x != F.col("path"))  # none left: all texts of this pool go on together
+            other = F.when(F.size(other) > 0, other).otherwise(F.array("path"))
+            chosen = F.slice(F.array_sort(F.transform(other, lambda x: F.struct(F.xxhash64("path", x).alias("h"), x.alias("x")))), 1, BRANCHES)
             rows = cut(_sized(rest.select("rep", F.explode(F.transform(chosen, lambda c: F.xxhash64(c.h, c.x, F.lit(depth)))).alias("path"))), "jaccard-buckets")
         else:  # what no split makes small: blocks of texts that aren't tied to the pivot against all blocks
             lone, tied = (F.ceil(c / BUCKET).cast("int") for c in (F.col("untied"), F.col("size") - F.col("untied")))

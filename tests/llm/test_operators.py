@@ -123,6 +123,14 @@ def test_jaccard_pairs_in_large_buckets_only(spark, monkeypatch):
     assert not missed
 
 
+def test_jaccard_texts_of_one_ngram_in_a_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BUCKET", 8)
+    texts = ["w w w w w " + " ".join(f"u{k}x{j}" for j in range(8)) for k in range(12)] + ["w " * n for n in range(5, 35)]
+    got = {r.doc_id: r for r in jaccard.report(docs_of(spark, texts)).collect()}
+    assert [got[k].n_links for k in range(12)] == [0] * 12
+    assert all((got[k].n_links, got[k].class_id) == (29, 12) for k in range(12, 42))
+
+
 def test_secrets(spark):
     texts = ["password=abcdefgh1 x", "secret: token: abcdefghij", "AKIA" + "A" * 16, "f" * 32 + "g", "paſſword=abcdefgh1", None, ""]
     got = {r.doc_id: r for r in secrets.report(docs_of(spark, texts)).collect()}
