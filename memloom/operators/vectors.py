@@ -21,9 +21,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int, *, other_than_self: bool = False, scope: str | None = None) -> DataFrame:
+def top_k(queries: DataFrame, rows: DataFrame, k: int, *, other_than_self: bool = False, earlier: bool = False, scope: str | None = None) -> DataFrame:
     """(qid, id, score, rank) of the ``k`` rows of highest cosine for each query. queries: (qid, v), rows: (id, v),
-    both with a column ``scope`` to match if one is named. Rows and queries without a direction are left out;
+    both with a column ``scope`` to match if one is named; ``earlier`` keeps only rows
+    of lesser id than the query's. Rows and queries without a direction are left out;
     ties go to the lesser id.
 
     Each block of queries is broadcast; every task multiplies its rows with it and keeps k of them for each query, so
@@ -49,11 +50,14 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, *, other_than_self: bool
                     continue
                 n = np.linalg.norm(v, axis=1, keepdims=True)
                 score = q @ np.where(n < 1e-12, np.nan, v / np.where(n < 1e-12, 1, n)).T
+                order = np.array(ids, object) if earlier else None
                 own = np.array(batch.column(scope).to_pylist(), object) if scope else None
                 for j, qid in enumerate(qids):
                     take = ~np.isnan(score[j])
                     if own is not None:
                         take &= own == scopes[j]
+                    if order is not None:
+                        take &= (order < qid).astype(bool)
                     at = np.flatnonzero(take)
                     if len(at) > 2 * k + 1:
                         edge = np.partition(score[j, at], len(at) - k - 1)[len(at) - k - 1]

@@ -254,25 +254,35 @@ def _(spark, d):
 _TERMS = "list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 1)"
 
 
-@query("I21_bm25", f"""WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents), n AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM d),
-q AS (SELECT item_id AS qid, t FROM (SELECT item_id, unnest(list_distinct({_TERMS})) AS t FROM benchmark WHERE item_id < 5)),
-tf AS (SELECT doc_id, t, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, unnest(ts) AS t, len(ts) AS dl FROM d) GROUP BY 1, 2),
-df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1), raw AS (SELECT t, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, n), mean AS (SELECT avg(idf) AS m FROM raw),
-s AS (SELECT qid, doc_id, sum((CASE WHEN idf < 0 THEN 0.25 * m ELSE idf END) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN tf USING (t) JOIN raw USING (t), n, mean GROUP BY 1, 2)
-SELECT qid, doc_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) <= 5""")
-def _(spark, d):
+def _bm25(spark, d, wanted):
+    """The five best documents of each wanted benchmark item."""
     docs = table(spark, d, "documents").select("doc_id", text.terms(F.col("text")).alias("ts"))
     total = docs.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl"))
     tf = docs.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("t")).groupBy("doc_id", "t").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     idf = tf.groupBy("t").agg(F.count("*").alias("df")).join(F.broadcast(total)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = idf.agg(F.avg("idf").alias("m"))
-    q = table(spark, d, "benchmark").where("item_id < 5").select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(text.terms(F.col("text")))).alias("t"))
+    q = table(spark, d, "benchmark").where(wanted).select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(text.terms(F.col("text")))).alias("t"))
     rows = tf.join(q, "t").join(idf.select("t", "idf", "avgdl"), "t").join(F.broadcast(mean))
     part = F.when(F.col("idf") < 0, 0.25 * F.col("m")).otherwise(F.col("idf")) * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
     best = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "doc_id")
     return rows.groupBy("qid", "doc_id").agg(F.sum(part).alias("score")).withColumn("r", F.row_number().over(best)).where("r <= 5").select("qid", "doc_id", r6("score").alias("score"))
 
 
+@query("I21_bm25", f"""WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents), n AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM d),
+q AS (SELECT item_id AS qid, t FROM (SELECT item_id, unnest(list_distinct({_TERMS})) AS t FROM benchmark WHERE item_id < 5)),
+tf AS (SELECT doc_id, t, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, unnest(ts) AS t, len(ts) AS dl FROM d) GROUP BY 1, 2),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1), raw AS (SELECT t, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, n), mean AS (SELECT avg(idf) AS m FROM raw),
+s AS (SELECT qid, doc_id, sum((CASE WHEN idf < 0 THEN 0.25 * m ELSE idf END) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN tf USING (t) JOIN raw USING (t), n, mean GROUP BY 1, 2)
+SELECT qid, doc_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) <= 5""")
+def _(spark, d):
+    return _bm25(spark, d, "item_id < 5")
+
+
+@query("I21_bm25_all")
+def _(spark, d):
+    return _bm25(spark, d, "item_id % 100 = 0")
+
+
 # C: vectors.
 @query("C02_cosine", f"WITH {_PAIR} SELECT i, j, round(list_cosine_similarity(si, sj), 6) AS cos, round(list_inner_product(fi, bj), 6) AS fb FROM pair")
 def _(spark, d):
@@ -312,13 +322,23 @@ def _(spark, d):
 
 
 # E, G, K: search.
-@query("K01_symmetric_recall", f"WITH {_NODES} SELECT q.id AS qid, n.id AS id, round(list_cosine_similarity(q.s, n.s), 6) AS score FROM nodes q JOIN nodes n ON q.label = n.label WHERE q.id < 10 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.s, n.s) DESC, n.id) <= 10")
-def k01(spark, d):
+def _recall(spark, d, wanted):
+    """The ten nearest nodes of each wanted node within its label."""
     n = nodes(spark, d)
-    got = top_k(n.where("id < 10").select(F.col("id").alias("qid"), F.col("s").alias("v"), "label"), n.select("id", F.col("s").alias("v"), "label"), 10, scope="label")
+    got = top_k(n.where(wanted).select(F.col("id").alias("qid"), F.col("s").alias("v"), "label"), n.select("id", F.col("s").alias("v"), "label"), 10, scope="label")
     return got.select("qid", "id", r6("score").alias("score"))
 
 
+@query("K01_symmetric_recall", f"WITH {_NODES} SELECT q.id AS qid, n.id AS id, round(list_cosine_similarity(q.s, n.s), 6) AS score FROM nodes q JOIN nodes n ON q.label = n.label WHERE q.id < 10 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.s, n.s) DESC, n.id) <= 10")
+def k01(spark, d):
+    return _recall(spark, d, "id < 10")
+
+
+@query("K01_symmetric_recall_all")
+def _(spark, d):
+    return _recall(spark, d, "id % 100 = 0")
+
+
 @query("E05_knn_self_join", f"WITH {_KNN} SELECT i, j, round(cos, 6) AS cos, rank FROM knn")
 def _(spark, d):
     return knn(spark, d).select("i", "j", r6("cos").alias("cos"), F.col("rank").cast("bigint").alias("rank"))
@@ -332,6 +352,13 @@ def _(spark, d):
     return near.withColumn("r", F.row_number().over(best)).where("r <= 10").select("i", "j", r6("cos").alias("cos"))
 
 
+@query("J01_earlier_neighbours_all")
+def _(spark, d):
+    n = nodes(spark, d)
+    got = top_k(n.select(F.col("id").alias("qid"), F.col("s").alias("v")), n.select("id", F.col("s").alias("v")), 10, earlier=True)
+    return got.select(F.col("qid").alias("i"), F.col("id").alias("j"), r6("score").alias("cos"))
+
+
 _E = "round(weight, 6) AS weight, round(gamma_score, 6) AS gamma_score, round(gamma_anti, 6) AS gamma_anti"
 
 
@@ -340,10 +367,20 @@ def _(spark, d):
     return edges(spark, d).select("src", "dst", "edge_type", *(r6(c).alias(c) for c in ("weight", "gamma_score", "gamma_anti")))
 
 
+def _chains(spark, d, wanted):
+    """Two-chains that start at wanted edges."""
+    e = edges(spark, d)
+    return e.where(wanted).select(F.col("src").alias("a"), F.col("dst").alias("b")).join(e.select(F.col("src").alias("b"), F.col("dst").alias("c")), "b").where("a <> c").select("a", "b", "c")
+
+
 @query("E06_two_chains", f"WITH {_EDGES} SELECT x.src AS a, x.dst AS b, y.dst AS c FROM edges x JOIN edges y ON x.dst = y.src WHERE x.src <> y.dst AND x.src < 20")
 def _(spark, d):
-    e = edges(spark, d)
-    return e.where("src < 20").select(F.col("src").alias("a"), F.col("dst").alias("b")).join(e.select(F.col("src").alias("b"), F.col("dst").alias("c")), "b").where("a <> c").select("a", "b", "c")
+    return _chains(spark, d, "src < 20")
+
+
+@query("E06_two_chains_all")
+def _(spark, d):
+    return _chains(spark, d, "true")
 
 
 @query("E09_forget_cascade", f"WITH {_EDGES} SELECT src, dst FROM edges WHERE src < 5 OR dst < 5")
@@ -376,6 +413,12 @@ def _(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.collect_list("text").over(before), "\n").alias("buffer"))
 
 
+def _beam(spark, d, wanted):
+    """Walks of two steps from each wanted node."""
+    seeds = nodes(spark, d).where(wanted).select(F.col("id").alias("qid"), F.col("id").alias("seed"))
+    return retrieve.walk(seeds, edges(spark, d), depth=2).select("qid", "seed", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"), r6("cum").alias("cum"))
+
+
 @query("K02_beam_walk", f"""WITH {_EDGES}, w AS (SELECT src, dst, weight FROM edges WHERE weight >= -0.1), p0 AS (SELECT id AS seed, [id] AS nodes, 0.0::DOUBLE AS cum FROM nodes WHERE id < 8),
 m1 AS (SELECT seed, list_append(nodes, dst) AS nodes, cum + weight AS cum, nodes AS old FROM p0 JOIN w ON src = nodes[-1] WHERE NOT list_contains(nodes, dst)),
 p1 AS (SELECT seed, nodes, cum FROM (SELECT seed, nodes, cum FROM m1 UNION ALL SELECT seed, nodes, cum FROM p0 WHERE NOT EXISTS (SELECT 1 FROM m1 WHERE m1.old = p0.nodes)) QUALIFY row_number() OVER (PARTITION BY seed ORDER BY round(cum, 9) DESC, nodes) <= 8),
@@ -383,19 +426,33 @@ m2 AS (SELECT seed, list_append(nodes, dst) AS nodes, cum + weight AS cum, nodes
 p2 AS (SELECT seed, nodes, cum FROM (SELECT seed, nodes, cum FROM m2 UNION ALL SELECT seed, nodes, cum FROM p1 WHERE NOT EXISTS (SELECT 1 FROM m2 WHERE m2.old = p1.nodes)) QUALIFY row_number() OVER (PARTITION BY seed ORDER BY round(cum, 9) DESC, nodes) <= 8)
 SELECT seed AS qid, seed, array_to_string(nodes, '>') AS path, round(cum, 6) AS cum FROM p2""")
 def _(spark, d):
-    seeds = nodes(spark, d).where("id < 8").select(F.col("id").alias("qid"), F.col("id").alias("seed"))
-    return retrieve.walk(seeds, edges(spark, d), depth=2).select("qid", "seed", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"), r6("cum").alias("cum"))
+    return _beam(spark, d, "id < 8")
 
 
-@query("K05_pcst_extract")
+@query("K02_beam_walk_all")
 def _(spark, d):
-    seeds = nodes(spark, d).where("id < 8").select(F.col("id").alias("qid"), F.col("id").alias("seed"))
+    return _beam(spark, d, "id % 100 = 0")
+
+
+def _tree(spark, d, wanted):
+    """The tree extracted around each wanted node."""
+    seeds = nodes(spark, d).where(wanted).select(F.col("id").alias("qid"), F.col("id").alias("seed"))
     paths = retrieve.walk(seeds, edges(spark, d), depth=3)
     on = paths.select("qid", F.explode("nodes").alias("id")).distinct()
     links = edges(spark, d).join(on.select("qid", F.col("id").alias("src")), "src").join(on.select("qid", F.col("id").alias("dst")), ["qid", "dst"]).select("qid", "src", "dst", "weight")
     return retrieve.extract_tree(on, links, seeds.select("qid", F.col("seed").alias("id")))
 
 
+@query("K05_pcst_extract")
+def _(spark, d):
+    return _tree(spark, d, "id < 8")
+
+
+@query("K05_pcst_extract_all")
+def _(spark, d):
+    return _tree(spark, d, "id % 100 = 0")
+
+
 # F: aggregates.
 @query("F01_stats", f"WITH {_EDGES} SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM events) AS n_audit")
 def _(spark, d):
@@ -468,9 +525,19 @@ def _(spark, d):
     return graph.clustering(nodes(spark, d), edges(spark, d)).select("id", "degree", r6("coefficient").alias("coefficient"))
 
 
+def _hops(spark, d, wanted):
+    """Hops up to three from each wanted node."""
+    return graph.hops(edges(spark, d), nodes(spark, d).where(wanted).select("id"), 3)
+
+
 @query("L11_hops", f"WITH RECURSIVE {_ADJ}, h AS (SELECT id AS source, id, 0 AS hops FROM nodes WHERE id < 3 UNION SELECT source, v, hops + 1 FROM h JOIN adj ON u = id WHERE hops < 3) SELECT source, id, min(hops) AS hops FROM h GROUP BY 1, 2 HAVING min(hops) > 0")
 def _(spark, d):
-    return graph.hops(edges(spark, d), nodes(spark, d).where("id < 3").select("id"), 3)
+    return _hops(spark, d, "id < 3")
+
+
+@query("L11_hops_all")
+def _(spark, d):
+    return _hops(spark, d, "id % 100 = 0")
 
 
 _FORMAN = _DEG + ", forman AS (SELECT e.*, (4 - x.d - y.d + 2 * c)::DOUBLE AS kappa FROM edges e JOIN deg x ON x.u = e.src JOIN deg y ON y.u = e.dst JOIN common k ON k.u = e.src AND k.v = e.dst)"

@@ -81,3 +81,32 @@ def test_bounds(spark):
     assert one(bounds.crc_hoeffding(*lit(0.1, 0))) == 1.0
     assert one(bounds.rag_bound(*lit(0.1, 50, 0.05))) < one(bounds.rag_bound(*lit(0.1, 50, 0.5)))
     assert one(bounds.crc_hoeffding(*lit(0.0, 15))) == pytest.approx(math.sqrt(math.log(20) / 30))
+
+
+def test_whole_queries_reach_beyond_the_samples(spark):
+    import numpy as np
+
+    from memloom.plans.fixtures import edges, nodes
+    from memloom.plans.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    rows = sorted((r.id, r.s) for r in nodes(spark, d).select("id", "s").collect())
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    got = {}
+    for r in QUERIES["J01_earlier_neighbours_all"](spark, d).collect():
+        got.setdefault(r.i, []).append((-r.cos, r.j))
+    assert set(got) == set(ids[1:].tolist())
+    for k in range(1, len(ids)):
+        best = np.sort(-(v[:k] @ v[k]))[:10]
+        assert np.allclose(sorted(c for c, _ in got[ids[k]]), best, atol=2e-6) and all(j < ids[k] for _, j in got[ids[k]])
+    links = {(r.src, r.dst) for r in edges(spark, d).select("src", "dst").collect()}
+    chains = sorted((a, b, c) for a, b in links for x, c in links if x == b and a != c)
+    assert sorted(tuple(r) for r in QUERIES["E06_two_chains_all"](spark, d).select("a", "b", "c").distinct().collect()) == chains
+    hundreds = {i for i in ids.tolist() if i % 100 == 0}
+    assert len(hundreds) > 1
+    for name, column in (("K01_symmetric_recall", "qid"), ("K02_beam_walk", "qid"), ("K05_pcst_extract", "qid"), ("L11_hops", "source")):
+        assert {r[0] for r in QUERIES[f"{name}_all"](spark, d).select(column).distinct().collect()} <= hundreds
+    assert {r[0] for r in QUERIES["K01_symmetric_recall_all"](spark, d).select("qid").distinct().collect()} == hundreds
+    items = {r.item_id for r in spark.read.parquet(f"{d}/benchmark.parquet").where("item_id % 100 = 0").collect()}
+    assert {r[0] for r in QUERIES["I21_bm25_all"](spark, d).select("qid").distinct().collect()} <= items
