@@ -199,9 +199,9 @@ def encode(images: list[np.ndarray], *, compression: int = DEFLATE, predictor: i
     return bytes(out)
 
 
-def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
-    """(byte order, tag -> values) of each image directory along the chain; a chain that comes back to a
-    directory ends there."""
+def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple] | struct.error]]:
+    """(byte order, tag -> values) of each image directory along the chain, or the error in place of the tags if
+    one of them points outside; a chain that comes back to a directory ends there."""
     order = {b"II*\0": "<", b"MM\0*": ">"}.get(data[:4])
     if order is None:
         raise ValueError("not a TIFF")
@@ -217,13 +217,19 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
                 continue
             size = struct.calcsize(TYPES[form]) * n
             (place,) = (entry + 8,) if size <= 4 else struct.unpack_from(f"{order}I", data, entry + 8)
-            tags[tag] = struct.unpack_from(f"{order}{n}{TYPES[form]}", data, place)
+            try:
+                tags[tag] = struct.unpack_from(f"{order}{n}{TYPES[form]}", data, place)
+            except struct.error as e:
+                tags = e
+                break
         yield order, tags
         (at,) = struct.unpack_from(f"{order}I", data, at + 2 + 12 * count)
 
 
-def page(data: bytes, order: str, tags: dict[int, tuple]) -> np.ndarray:
+def page(data: bytes, order: str, tags: dict[int, tuple] | struct.error) -> np.ndarray:
     """The (rows, columns, channels) samples of one directory."""
+    if isinstance(tags, struct.error):
+        raise tags
     columns, rows = tags[WIDTH][0], tags[LENGTH][0]
     channels, kind, predictor = tags.get(SAMPLES, (1,))[0], tags.get(COMPRESSION, (NONE,))[0], tags.get(PREDICTOR, (1,))[0]
     bits = set(tags.get(BITS, (1,)))
@@ -270,6 +276,8 @@ def feature(image: np.ndarray) -> str:
     return f"{columns}x{rows}x{channels};{','.join(f'{s / (rows * columns):.4f}' for s in sums)};{int(''.join('1' if b else '0' for b in bright) or '0', 2):x}"
 
 
+#: What a broken or unsupported page raises.
+ERRORS = (ValueError, KeyError, IndexError, struct.error, zlib.error, MemoryError)
 PAGES = "page int, width int, height int, channels int, bits int, samples binary, error string"
 
 
@@ -277,8 +285,8 @@ def pages(df: DataFrame, *, content: str = "content", keep: tuple[str, ...] = ()
     """One row per page of each TIFF in a binary column: ``keep``, page (from 0), width, height, channels,
     bits, samples (row by row, big-endian for 16 bits) and error.
 
-    Null gives no row; bytes that are no TIFF, or a page that can't be decoded, give one row with error set and
-    the rest null; pages before it are kept.
+    Null gives no row. A page that can't be decoded gives a row with page and error set and the rest null, and the
+    pages after it follow; bytes that are no TIFF, or a chain that breaks, give one row with only error set.
     """
     names = list(keep)
 
@@ -289,12 +297,17 @@ def pages(df: DataFrame, *, content: str = "content", keep: tuple[str, ...] = ()
                 if data is None:
                     continue
                 rows, own = [], batch.slice(at, 1).select(names).to_pylist()[0]
+                failed = lambda e, k=None: own | {c: None for c in ("width", "height", "channels", "bits", "samples")} | {"page": k, "error": f"{type(e).__name__}: {e}"}  # noqa: B023, E731
                 try:
                     for k, (order, tags) in enumerate(directories(data)):
-                        image = page(data, order, tags)
+                        try:
+                            image = page(data, order, tags)
+                        except ERRORS as e:
+                            rows.append(failed(e, k))
+                            continue
                         rows.append(own | {"page": k, "width": image.shape[1], "height": image.shape[0], "channels": image.shape[2], "bits": image.dtype.itemsize * 8, "samples": image.astype(image.dtype.newbyteorder(">")).tobytes(), "error": None})
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error, MemoryError) as e:
-                    rows.append(own | {k: None for k in ("page", "width", "height", "channels", "bits", "samples")} | {"error": f"{type(e).__name__}: {e}"})
+                except ERRORS as e:
+                    rows.append(failed(e))
                 schema = pa.schema([batch.schema.field(c) for c in names] + [("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("bits", pa.int32()), ("samples", pa.binary()), ("error", pa.string())])
                 yield pa.RecordBatch.from_pylist(rows, schema)
 

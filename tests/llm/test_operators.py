@@ -173,6 +173,21 @@ def test_tiff_pages_and_payloads(spark):
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.n_bytes == len(raw)
 
 
+def test_tiff_pages_after_a_broken_one(spark):
+    import struct
+
+    media = bytearray(tiff.encode([np.full((2, 3, 1), k, np.uint8) for k in range(3)]))
+    (at,) = struct.unpack_from("<I", media, 4)
+    bits, widths = (at + 2 + 12 * k for k in (2, 0))
+    assert struct.unpack_from("<H", media, bits)[0] == tiff.BITS
+    one, outside = bytearray(media), bytearray(media)
+    struct.pack_into("<H", one, bits + 8, 1)  # a bilevel page
+    struct.pack_into("<II", outside, widths + 4, 9, len(media))  # a tag whose values lie outside the file
+    df = spark.createDataFrame([(1, one), (2, outside)], "k long, content binary")
+    got = [(r.k, r.page, r.error is None, r.samples and bytes(r.samples)) for r in tiff.pages(df, keep=("k",)).orderBy("k", "page").collect()]
+    assert got == [(k, *x) for k in (1, 2) for x in ((0, False, None), (1, True, b"\1" * 6), (2, True, b"\2" * 6))]
+
+
 def test_warc_segments_and_revisits(spark):
     long = "é\r\n\r\nWARC/1.1 x" * 9000
     rows = [(1, "u", "abc"), (2, "u\r\nX: y", "abc"), (3, None, None), (4, "v", long), (5, "v", long), (None, "z", "abc")]
