@@ -8,6 +8,7 @@ inside the row of their document, so that nothing is shuffled.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import zlib
 
@@ -127,7 +128,7 @@ STEMS = r"licen[sc]e|copyright|warrant|permission|permitted|redistribut|public d
 #: So are these, in a paragraph that holds one of the former.
 DETAIL = r"\bversion [0-9]|\bv 2 0\b|lesser|affero|noncommercial|sharealike|\bnc\b|\bsa\b|spdx|free software"
 WORDS = 4
-SLOTS = 1 << 13
+SLOTS = 1 << 16
 #: Calibrated probability below which a paragraph is unknown, and the share of a paragraph's or template's words
 #: that the other must hold to confirm a family.
 CONFIDENT, CONFIRMS = 0.5, 0.6
@@ -188,12 +189,9 @@ def model() -> dict:
 
     heat = min((0.25 * 1.25**k for k in range(16)), key=loss)
     w, b = _fit(x, y, len(classes))
-    salt = 0
-    while len({_slot(g, salt) for g in vocabulary}) < len(vocabulary) and salt < 200:
-        salt += 1
-    taken: dict[int, int] = {}
-    for k in np.argsort(-np.abs(w).max(1)):  # where two share a slot in spite of all salts, the heavier one has it
-        taken.setdefault(_slot(vocabulary[k], salt), int(k))
+    # an n-gram in every slot at most, so that all weights are kept
+    salt = next(k for k in itertools.count() if len({_slot(g, k) for g in vocabulary}) == len(vocabulary))
+    taken = {_slot(g, salt): k for k, g in enumerate(vocabulary)}
     return {"classes": classes, "vocabulary": vocabulary, "w": w / heat, "b": b / heat, "salt": salt, "taken": taken}
 
 
@@ -206,14 +204,15 @@ def _score(words: Column) -> Column:
     """family, probability, confirmed of a paragraph given as its words."""
     m = model()
     n, classes = len(m["classes"]), m["classes"]
-    names = [m["vocabulary"][m["taken"][s]] if s in m["taken"] else "" for s in range(SLOTS)]
-    flat = [f"{v:.6f}" for s in range(SLOTS) for v in (m["w"][m["taken"][s]] if s in m["taken"] else [0.0] * n)]
-    names, flat = _literal(names, "string"), _literal(flat, "double")
+    places = _literal([str(m["taken"].get(s, -1) + 1) for s in range(SLOTS)], "int")  # 0 where no n-gram is
+    names = _literal(["", *m["vocabulary"]], "string")
+    flat = _literal([f"{v:.6f}" for row in m["w"] for v in row], "double")
     last = F.size(words)
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(WORDS)), lambda k: F.when(last >= k, F.transform(F.sequence(F.lit(1), F.greatest(last - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, k), " "))).otherwise(F.array().cast("array<string>"))))
     grams = F.array_distinct(F.filter(grams, lambda g: g.rlike(f"{STEMS}|{DETAIL}")))
-    slot = lambda g: F.pmod(F.crc32(F.concat(F.lit(str(m["salt"])), g).cast("binary")), F.lit(SLOTS)).cast("int")
-    known = F.transform(F.filter(grams, lambda g: F.element_at(names, slot(g) + 1) == g), lambda g: F.slice(flat, slot(g) * n + 1, F.lit(n)))
+    place = lambda g: F.element_at(places, F.pmod(F.crc32(F.concat(F.lit(str(m["salt"])), g).cast("binary")), F.lit(SLOTS)).cast("int") + 1)
+    known = F.filter(F.transform(grams, lambda g: F.struct(g.alias("g"), place(g).alias("k"))), lambda x: F.element_at(names, x.k + 1) == x.g)
+    known = F.transform(known, lambda x: F.slice(flat, (x.k - 1) * n + 1, F.lit(n)))
     zero, bias = F.array(*[F.lit(0.0)] * n), F.array(*[F.lit(float(v)) for v in m["b"]])
     total = F.aggregate(known, zero, lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
     z = F.transform(F.array(F.struct(total.alias("t"), F.greatest(F.size(grams), F.lit(1)).alias("m"))), lambda s: F.zip_with(s.t, bias, lambda p, q: p / F.sqrt(s.m) + q))[0]

@@ -213,3 +213,20 @@ def test_language_and_licences(spark):
     lines = ["Licensed under the Apache License, Version 2.0.", "x\nReleased under the MIT License.", "He renewed his driving license.", None, ""]
     found = {r.doc_id: r.families for r in licences.report(docs_of(spark, lines)).collect()}
     assert found == {0: "apache-2.0", 1: "mit", 2: "", 3: "", 4: ""}
+
+
+def test_licence_scores_use_all_weights(spark):
+    m = licences.model()
+    assert sorted(m["taken"].values()) == list(range(len(m["vocabulary"])))
+    texts = [t for ts in licences.TEMPLATES.values() for t in ts]
+    least = {r.doc_id: r.least_probability for r in licences.report(docs_of(spark, texts)).collect()}
+    index, checked = {g: k for k, g in enumerate(m["vocabulary"])}, 0
+    for k, t in enumerate(texts):
+        own = licences.features_of(licences.words_of(t))
+        z = sum(m["w"][index[g]] for g in own) / max(1, len(own)) ** 0.5 + m["b"]
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        if "\n" not in t and least[k] is not None:
+            assert abs(least[k] - p.max()) < 1e-4
+            checked += 1
+    assert checked
