@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memloom.llm.shared import chunks, cut, fields, free_name, row_hashes, window_hashes, word_bounds, word_hashes
+from memloom.llm.shared import chunks, cut, fields, free_name, plain_names, row_hashes, window_hashes, word_bounds, word_hashes
 from memloom.operators.components import connected_components
 
 WORDS, SIMILAR = 5, 0.8
@@ -360,9 +360,10 @@ def report(docs: DataFrame, **options) -> DataFrame:
 def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """One document of each class, byte for byte; documents without words all stay. The rows are numbered and
     cut, and those that go are joined by number: broadcast while they are few, shuffled beyond."""
-    row = free_name(docs, "row_no")
-    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()), "jaccard-documents")
-    gone = cut(classes(numbered, text=text, row=row, doc_id=doc_id, **options).where(~F.col("kept")).select(row), "jaccard-gone")
+    plain, names = plain_names(docs)
+    place = {c.lower(): n for c, n in zip(docs.columns, names)}
+    numbered = cut(plain.withColumn("row_no", F.monotonically_increasing_id()), "jaccard-documents")
+    gone = cut(classes(numbered, text=place[text.lower()], row="row_no", doc_id=place[doc_id.lower()], **options).where(~F.col("kept")).select("row_no"), "jaccard-gone")
     if gone.count() <= BROADCAST_KEYS:
         gone = F.broadcast(gone)
-    return numbered.join(gone, row, "left_anti").drop(row)
+    return numbered.join(gone, "row_no", "left_anti").select(*names).toDF(*docs.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from memloom.sources.scratch import cut, scratch, shared_dir
 
-__all__ = ["CHUNK_BYTES", "chunks", "cover", "cut", "fields", "first_windows", "free_name", "mix", "powers", "row_hashes", "scratch", "shared_dir", "text_bytes", "window_hashes", "word_bounds", "word_hashes"]
+__all__ = ["CHUNK_BYTES", "chunks", "cover", "cut", "fields", "first_windows", "free_name", "levels", "mix", "plain_names", "row_hashes", "scratch", "shared_dir", "text_bytes", "window_hashes", "word_bounds", "word_hashes"]
 
 #: Bytes of text that one numpy step handles; the arrays made from them stay below about 40 times this.
 CHUNK_BYTES = 1 << 19
@@ -29,6 +30,13 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def plain_names(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns named column0_, column1_, ... and these names: names with dots, quotes or those that a
+    result adds clash with nothing. ``toDF(*df.columns)`` gives the names back."""
+    names = [f"column{k}_" for k in range(len(df.columns))]
+    return df.toDF(*names), names
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the n + 1 offsets of its rows, without a copy; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -68,19 +76,9 @@ def word_bounds(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE = np.random.default_rng(20240607).integers(0, 1 << 64, 256, np.uint64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(kind: str, n: int) -> np.ndarray:
-    """The first n powers of the base (or its inverse) modulo 2**64."""
-    if len(_powers.get(kind, ())) < n:
-        base = np.full(max(n, CHUNK_BYTES + 1), _ODD if kind == "up" else _BACK)
-        base[0] = 1
-        _powers[kind] = np.multiply.accumulate(base)
-    return _powers[kind][:n]
+#: Bytes of a word that numpy hashes, eight at a time; a longer word is hashed as a whole by BLAKE2.
+LONG_WORD = 128
+_FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], "<u8")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -90,31 +88,67 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _salt(n: int) -> np.uint64:
+    return np.uint64((n * 0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D) % (1 << 64))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of bytes, the same in every process: prefix sums of a polynomial, so that no
-    Python object is made for a word."""
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers("up", len(data)), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers("down", len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each run of bytes, the same in every process: eight bytes after another are added and mixed,
+    so that neither the words' order of bytes nor a repeated pattern cancels out, and no Python object is made for a
+    word of usual length."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + _salt(7))
+    if not len(starts):
+        return out
+    eights = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    at = np.arange(len(starts))
+    if int(size.max()) > LONG_WORD:
+        for k in np.flatnonzero(size > LONG_WORD).tolist():
+            out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+        at = np.flatnonzero(size <= LONG_WORD)
+    done = 0
+    while len(at):
+        piece = np.ascontiguousarray(eights[starts[at] + done]).view("<u8")[:, 0] & _FIRST_BYTES[np.minimum(size[at] - done, 8)]
+        out[at] = mix(out[at] * np.uint64(0x9E3779B97F4A7C15) + piece)
+        done += 8
+        at = at[size[at] > done]
+    return out
+
+
+def _both(left: np.ndarray, right: np.ndarray, salt: int) -> np.ndarray:
+    return mix(left ^ mix(right + _salt(salt)))
+
+
+def levels(words: np.ndarray, n: int, salt: int = 1) -> list[np.ndarray]:
+    """Hashes of each 1, 2, 4, ... consecutive word hashes, up to n of them: each from the two halves, mixed anew."""
+    out = [words]
+    while 2 << (len(out) - 1) <= min(n, len(words)):
+        half = 1 << (len(out) - 1)
+        out.append(_both(out[-1][:-half], out[-1][half:], salt))
+    return out
 
 
 def window_hashes(words: np.ndarray, n: int, salt: int = 1) -> np.ndarray:
     """A 64-bit hash of each n consecutive word hashes (rows' borders are the caller's)."""
     if len(words) < n:
         return np.zeros(0, np.uint64)
-    count, base = len(words) - n + 1, np.uint64((0xD6E8FEB86659FD93 * (2 * salt + 1)) % (1 << 64))
-    total = words[:count].copy()
-    for k in range(1, n):
-        total *= base
-        total += words[k : k + count]
-    return mix(total)
+    own, count, at = levels(words, n, salt), len(words) - n + 1, 0
+    total = np.full(count, _salt(n), np.uint64)
+    for k in reversed(range(len(own))):
+        if n >> k & 1:
+            total = _both(total, own[k][at : at + count], salt)
+            at += 1 << k
+    return total
 
 
 def row_hashes(words: np.ndarray, first: np.ndarray, salt: int) -> np.ndarray:
-    """A 64-bit hash of each row's sequence of word hashes; first: rows' first words."""
+    """A 64-bit hash of each row's sequence of word hashes: a sum over the words, each mixed with its place; first:
+    rows' first words."""
+    size = np.diff(first)
+    place = (np.arange(len(words)) - np.repeat(first[:-1], size)).astype(np.uint64)
     total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(mix(words + np.uint64(salt)) * powers("up", len(words)), out=total[1:])
-    return mix((total[first[1:]] - total[first[:-1]]) * powers("down", len(words) + 1)[first[:-1]] + np.diff(first).astype(np.uint64))
+    np.cumsum(mix(words ^ mix(place + _salt(salt))), out=total[1:])
+    return mix(total[first[1:]] - total[first[:-1]] + mix(size.astype(np.uint64) + _salt(salt)))
 
 
 def first_windows(first: np.ndarray, n: int) -> np.ndarray:

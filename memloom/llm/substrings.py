@@ -7,8 +7,8 @@ whose context lies inside a window occurs in every copy of the window. Each wind
 under one such symbol, the least by hash of its context, and under itself where it has none.
 
 1. Scan: the distinct symbols that windows are filed under, counted over the corpus. One in about seven words.
-2. Symbols that occur twice set a bit of a map of fixed size. Windows under other symbols are unique.
-3. Scan: windows under a set bit, by a 96-bit hash of their words; the first place of each is found by a minimum
+2. Symbols that occur twice set a bit of a map of bounded size. Windows under other symbols are unique.
+3. Scan: windows under a set bit, by a 128-bit hash of their words; the first place of each is found by a minimum
    that is combined before the shuffle, so that a passage in a third of all documents is one row for each task.
 4. Scan: a window under a set bit that isn't the first of its kind covers words that are removed.
 """
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memloom.llm.shared import chunks, cover, cut, fields, first_windows, free_name, mix, powers, row_hashes, window_hashes, word_bounds, word_hashes
+from memloom.llm.shared import chunks, cover, cut, fields, first_windows, free_name, levels, mix, plain_names, row_hashes, window_hashes, word_bounds, word_hashes
 
 WINDOW = 20
 ROUNDS = 2
 #: Bytes of text that one numpy step handles.
 STEP_BYTES = 1 << 19
-#: Bits of the map of repeated symbols (32 MiB), whatever the corpus; a full map costs time and changes no result.
-MAP_BITS = 1 << 28
+#: Bits of the map of repeated symbols for each of them, and the least and most it has (128 MiB). A full map costs
+#: time (windows are then compared that needn't be) and changes no result.
+BITS_EACH, LEAST_BITS, MOST_BITS = 8, 1 << 20, 1 << 30
 #: Bytes of ranges of first places that are broadcast to the last scan; beyond it they are joined to the documents.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 16 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -76,11 +78,14 @@ def symbols(words: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple
     return lo[inside], hi[inside]
 
 
-def _span_hashes(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """A hash of the words of each range; ranges may overlap."""
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(mix(words + np.uint64(77)) * powers("up", len(words)), out=total[1:])
-    return mix((total[hi] - total[lo]) * powers("down", len(words) + 1)[lo] + (hi - lo).astype(np.uint64))
+def _span_hashes(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the words of each range of at most n of them; ranges may overlap. A range is hashed by its first
+    and its last 1, 2, 4, ... words, as many as cover it."""
+    out, size = np.zeros(len(lo), np.uint64), hi - lo
+    for k, own in enumerate(levels(words, n)):
+        here = np.flatnonzero((size >= 1 << k) & (size < 2 << k))
+        out[here] = mix(own[lo[here]] + mix(own[hi[here] - (1 << k)] ^ mix(size[here].astype(np.uint64))))
+    return out
 
 
 def filed(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,7 +95,9 @@ def filed(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.
     if not len(at):
         return at, at, np.zeros(0, np.uint64)
     lo, hi = symbols(words, first)
-    keys = _span_hashes(words, lo, hi)
+    near = hi - lo <= n
+    lo, hi = lo[near], hi[near]
+    keys = _span_hashes(words, lo, hi, n)
     a, b = np.searchsorted(lo, at, "left"), np.searchsorted(hi, at + n, "right")
     count = np.maximum(b - a, 0)
     best = np.arange(len(keys))
@@ -136,8 +143,9 @@ def repeated_symbols(docs: DataFrame, text: str, n: int) -> np.ndarray:
                 found, count = np.unique(keys[one], return_counts=True)
                 yield pa.RecordBatch.from_pydict({"key": _signed(found), "n": pa.array(count.astype(np.int64))})
 
-    counted = docs.select(text).mapInArrow(scan, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
-    slot = F.col("key").bitwiseAND(F.lit(MAP_BITS - 1))
+    counted = cut(docs.select(text).mapInArrow(scan, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), "substring-symbols")
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * counted.count()).bit_length()))
+    slot = F.col("key").bitwiseAND(F.lit(bits - 1))
     blocks = counted.select(F.shiftright(slot, 15).cast("int").alias("block"), slot.bitwiseAND(F.lit((1 << 15) - 1)).cast("int").alias("bit")).groupBy("block").agg(F.collect_set("bit").alias("bits"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,17 +158,42 @@ def repeated_symbols(docs: DataFrame, text: str, n: int) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"block": batch.column("block"), "bits": pa.array(out, pa.binary())})
 
     packed = cut(blocks.mapInArrow(pack, "block int, bits binary"), "substring-map")
-    whole = np.zeros(MAP_BITS // 8, np.uint8)
-    for row in packed.toLocalIterator():  # at most MAP_BITS / 8 bytes
+    whole = np.zeros(bits // 8, np.uint8)
+    for row in packed.toLocalIterator():  # at most MOST_BITS / 8 bytes
         whole[row.block << 12 : (row.block + 1) << 12] = np.frombuffer(bytes(row.bits), np.uint8)
     return whole
 
 
 def _is_set(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = (keys & np.uint64(MAP_BITS - 1)).astype(np.int64)
+    slot = (keys & np.uint64(8 * len(table) - 1)).astype(np.int64)
     return (table[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
 
 
+class _Ranges:
+    """Ranges of first places by document, in flat arrays: documents by id and mark, and where their ranges begin."""
+
+    def __init__(self, rows: Iterator) -> None:
+        parts = [[np.zeros(0, np.int64)] for _ in range(5)]
+        while some := list(islice(rows, 10_000)):
+            parts[0].append(np.array([r.id for r in some]))
+            parts[1].append(np.array([r.mark for r in some]))
+            parts[2].append(np.array([len(r.lows) for r in some]))
+            parts[3].append(np.concatenate([np.array(r.lows, np.int64) for r in some]))
+            parts[4].append(np.concatenate([np.array(r.highs, np.int64) for r in some]))
+        ids, marks, sizes, self.lows, self.highs = map(np.concatenate, parts)
+        ends = np.cumsum(sizes)
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.marks, self.begins, self.ends = ids[order], marks[order], (ends - sizes)[order], ends[order]
+
+    def of(self, doc: int, mark: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = np.searchsorted(self.ids, doc, "left"), np.searchsorted(self.ids, doc, "right")
+        for k in range(int(a), int(b)):
+            if self.marks[k] == mark:
+                own = slice(self.begins[k], self.ends[k])
+                return self.lows[own], self.highs[own]
+        return self.lows[:0], self.highs[:0]
+
+
 def _ids(column: pa.Array) -> np.ndarray:
     """Document ids as 64-bit numbers; null comes after all."""
     return column.cast(pa.int64()).fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
@@ -176,7 +209,7 @@ def _first_places(docs: DataFrame, table, text: str, doc_id: str, n: int) -> Dat
                 _, _, first, words = _words(data, offsets)
                 at, _, keys = filed(words, first, n)
                 at = at[_is_set(table.value, keys)]
-                one, two = window_hashes(words, n)[at], window_hashes(words, n, 2)[at] >> np.uint64(32)
+                one, two = window_hashes(words, n)[at], window_hashes(words, n, 2)[at]
                 row = np.searchsorted(first, at, "right") - 1
                 ids = _ids(part.column(doc_id))[row]
                 order = np.lexsort((at - first[row], ids, two, one))  # in this chunk one row for each kind, its first
@@ -184,7 +217,7 @@ def _first_places(docs: DataFrame, table, text: str, doc_id: str, n: int) -> Dat
                 take = order[lead]
                 mark = (row_hashes(words, first, 1) >> np.uint64(33)).astype(np.int64)
                 place = (mark[row] << 32) | (at - first[row])
-                yield pa.RecordBatch.from_pydict({"one": _signed(one[take]), "two": pa.array(two[take].astype(np.int64)), "id": pa.array(ids[take]), "place": pa.array(place[take])})
+                yield pa.RecordBatch.from_pydict({"one": _signed(one[take]), "two": _signed(two[take]), "id": pa.array(ids[take]), "place": pa.array(place[take])})
 
     found = docs.select(doc_id, text).mapInArrow(scan, "one bigint, two bigint, id bigint, place bigint")
     lead = found.groupBy("one", "two").agg(F.min("id").alias("id"), F.min_by("place", "id").alias("place"))
@@ -231,13 +264,12 @@ def _apply(docs: DataFrame, text: str, doc_id: str, n: int, names: list[str], mo
     empty = np.zeros(0, np.int64)
     schema = T.StructType([*(docs.schema[c] for c in names), *more])
     if size <= BROADCAST_BYTES:
-        held = {(r.id, r.mark): (np.array(r.lows), np.array(r.highs)) for r in places.toLocalIterator()}
-        shared = sc.broadcast(held)
+        shared = sc.broadcast(_Ranges(iter(places.toLocalIterator())))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part, data, offsets in chunks(batch, text, STEP_BYTES):
-                    got = _removed(part, data, offsets, table.value, doc_id, n, lambda r, i, m: shared.value.get((i, m), (empty, empty)))
+                    got = _removed(part, data, offsets, table.value, doc_id, n, lambda r, i, m: shared.value.of(i, m))
                     yield result(part, data, offsets, *got)
 
         return source.mapInArrow(scan, schema)
@@ -289,18 +321,20 @@ def remove(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n: in
     """The documents with every word removed that a later copy of a window covers. Texts that lose nothing stay
     byte for byte; others are their kept words, joined by one space. n_chars, where it is, follows."""
 
-    names = docs.columns
+    plain, names = plain_names(docs)
+    place = {c.lower(): n for c, n in zip(docs.columns, names)}
+    own, sizes = place[text.lower()], place.get("n_chars")
 
     def result(part, data, offsets, starts, ends, first, gone):
         total = np.concatenate([[0], np.cumsum(gone)])
         hit = np.diff(total[first]) > 0
         columns = {c: part.column(c) for c in names}
         if hit.any():
-            old = columns[text].to_pylist()
+            old = columns[own].to_pylist()
             new = [k.decode() if h else t for k, h, t in zip(_kept(data, starts, ends, first, gone), hit, old)]
-            columns[text] = pa.array(new, columns[text].type)
-            if "n_chars" in columns:
-                columns["n_chars"] = pa.array([len(t) if h else c for t, h, c in zip(new, hit, columns["n_chars"].to_pylist())], columns["n_chars"].type)
+            columns[own] = pa.array(new, columns[own].type)
+            if sizes is not None:
+                columns[sizes] = pa.array([len(t) if h else c for t, h, c in zip(new, hit, columns[sizes].to_pylist())], columns[sizes].type)
         return pa.RecordBatch.from_pydict(columns)
 
-    return _apply(docs, text, doc_id, n, names, [], result)
+    return _apply(plain, own, place[doc_id.lower()], n, names, [], result).toDF(*docs.columns)
