@@ -8,17 +8,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memloom.llm.shared import chunks, fields, first_windows, free_name, window_hashes, word_bounds, word_hashes
+from memloom.llm.shared import chunks, cut, fields, first_windows, plain_names, text_bytes, window_hashes, word_bounds, word_hashes
 
 WINDOW = 8
 MIN_ITEMS = 2
-#: Text of the items, in bytes, that is held against the documents in one broadcast; a larger test set is cut
-#: into blocks of items of at most this size and each block takes its turn.
-BLOCK_BYTES = 32 << 20
+#: Text of the items, in bytes, that is held against the documents in one broadcast (about five times as much with
+#: its hashes and places); a larger test set is cut into blocks of items of about this size and each block takes its
+#: turn.
+BLOCK_BYTES = 8 << 20
 
 #: A byte of a word as its lower-case form, 0 for all other bytes. Every byte of a character above U+007F is one.
 _FORM = np.zeros(256, np.uint8)
@@ -32,27 +34,37 @@ _RANGES = "array<struct<lo:bigint,hi:bigint>>"
 
 
 class _Set:
-    """The windows of one block of items: sorted hashes by length, a bit map before them, and the windows' words."""
-
-    def __init__(self, items: list[tuple[str, str]], n: int) -> None:
-        self.items: dict[bytes, set[str]] = {}
-        for item, text in items:
-            form = _FORM[np.frombuffer(text.encode(), np.uint8)].tobytes().replace(b"\0", b" ")
-            words = form.split()
-            for k in range(max(1, len(words) - n + 1) if words else 0):
-                self.items.setdefault(b" ".join(words[k : k + n]), set()).add(item)
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size in {w.count(b" ") + 1 for w in self.items}:
-            hashes = np.array(sorted({_hash_of(w) for w in self.items if w.count(b" ") + 1 == size}), np.uint64)
+    """The windows of one block of items: the items' words in one buffer, joined by single spaces, and for each
+    length of windows their sorted hashes, places in the buffer and items, behind a bit map."""
+
+    def __init__(self, rows: list[tuple[str, str]], n: int) -> None:
+        self.ids = [r[0] for r in rows]
+        raw, offsets = text_bytes(pa.array([r[1] for r in rows], pa.large_string()))
+        form = _FORM[raw]
+        starts, ends, first = word_bounds(form != 0, offsets)
+        size = ends - starts
+        at = np.concatenate([[0], np.cumsum(size + 1)]).astype(np.int64)  # where each word begins in the buffer
+        text = np.full(int(at[-1]), 32, np.uint8)
+        inside = np.ones(len(text), bool)
+        inside[at[1:] - 1] = False
+        text[inside] = form[form != 0]
+        self.text, words, count = text.tobytes(), word_hashes(form, starts, ends), np.diff(first)
+        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
+        for length in np.unique(np.minimum(count[count > 0], n)).tolist():
+            begins = np.flatnonzero(first_windows(first, n)) if length == n else first[:-1][count == length]
+            hashes = window_hashes(words, length)[begins]
+            order = np.argsort(hashes, kind="stable")
+            hashes, begins = hashes[order], begins[order]
             bits = np.zeros(_BITS, bool)
             bits[(hashes & np.uint64(_BITS - 1)).astype(np.int64)] = True
-            self.by_length[size] = hashes, bits
+            item = (np.searchsorted(first, begins, "right") - 1).astype(np.int32)
+            self.by_length[length] = hashes, bits, at[begins].astype(np.int32), (at[begins + length] - 1).astype(np.int32), item
 
-
-def _hash_of(window: bytes) -> int:
-    data = np.frombuffer(window, np.uint8)
-    starts, ends, _ = word_bounds(data != 32, np.array([0, len(data)]))
-    return int(window_hashes(word_hashes(data, starts, ends), len(starts))[0])
+    def items_of(self, length: int, found: int, window: bytes) -> set[str]:
+        """The items that hold the window, whose hash is ``found``: its bytes are compared."""
+        hashes, _, lo, hi, item = self.by_length[length]
+        a, b = np.searchsorted(hashes, found, "left"), np.searchsorted(hashes, found, "right")
+        return {self.ids[item[k]] for k in range(int(a), int(b)) if self.text[lo[k] : hi[k]] == window}
 
 
 def _scan(batches: Iterator[pa.RecordBatch], text: str, keep: list[str], n: int, block: _Set, spans: bool) -> Iterator[pa.RecordBatch]:
@@ -63,15 +75,15 @@ def _scan(batches: Iterator[pa.RecordBatch], text: str, keep: list[str], n: int,
             starts, ends, first = word_bounds(form != 0, offsets)
             words = word_hashes(form, starts, ends)
             hit, items = np.zeros(len(words) + 1, np.int32), [set() for _ in range(len(part))]
-            for size, (known, bits) in block.by_length.items():
+            for size, (known, bits, *_) in block.by_length.items():
                 found = window_hashes(words, size)
                 at = np.flatnonzero(bits[(found & np.uint64(_BITS - 1)).astype(np.int64)])
                 if len(at):
                     at = at[first_windows(first, size)[at] & (known[np.minimum(np.searchsorted(known, found[at]), len(known) - 1)] == found[at])]
                 rows = np.searchsorted(first, at, "right") - 1
                 for k, row in zip(at.tolist(), rows.tolist()):
-                    own = block.items.get(b" ".join(form[starts[j] : ends[j]].tobytes() for j in range(k, k + size)))
-                    if own is not None:  # the words themselves are equal, not only their hashes
+                    own = block.items_of(size, found[k], b" ".join(form[starts[j] : ends[j]].tobytes() for j in range(k, k + size)))
+                    if own:  # the words themselves are equal, not only their hashes
                         items[row] |= own
                         hit[k] += 1
                         hit[k + size] -= 1
@@ -90,39 +102,50 @@ def _scan(batches: Iterator[pa.RecordBatch], text: str, keep: list[str], n: int,
             yield pa.RecordBatch.from_pydict(out)
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, n: int, block_bytes: int) -> Iterator[_Set]:
-    """The test set in blocks whose text is bounded; one block where the whole is below the bound."""
-    rows = benchmark.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(F.col(item).cast("string").alias("i"), F.col(text).alias("t"))
-    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    count = -(-int(total) // max(1, block_bytes)) * (2 if total > block_bytes else 1) or 1
-    for k in range(count):
-        yield _Set([(r.i, r.t) for r in (rows if count == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(count)) == k)).toLocalIterator()], n)
+def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    return benchmark.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(F.col(item).cast("string").alias("i"), F.col(text).alias("t"))
+
+
+def _block_count(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> int:
+    """One block where the whole test set is below the bound; else so many that each holds about half of it."""
+    total = int(_items(benchmark, item, text).agg(F.sum(F.octet_length("t"))).first()[0] or 0)
+    return 1 if total <= block_bytes else 2 * -(-total // block_bytes)
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item: str = "item_id", item_text: str = "text", n: int = WINDOW, spans: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _block(benchmark: DataFrame, item: str, text: str, k: int, count: int) -> list[tuple[str, str]]:
+    rows = _items(benchmark, item, text)
+    rows = rows if count == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == k)
+    return [(r.i, r.t) for r in rows.toLocalIterator()]
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item: str = "item_id", item_text: str = "text", n: int = WINDOW, spans: bool = False, block_bytes: int = BLOCK_BYTES, then=None) -> DataFrame:
     """Per document: ``keep``, n_words, n_hit, items (sorted ids of the items with occurring windows) and, with
     ``spans``, the byte ranges of runs of hit words.
 
     Null and empty texts have no words and no hits. Items with null id or text are no items; an item of fewer
     words than n is one window; equal windows of several items count for each. Repeated documents each give a
     row. Documents are never shuffled. A test set above ``block_bytes`` is scanned in blocks: the row then
-    passes through one scan for each block, which carries the ranges of hits so far.
+    passes through one scan for each block, which carries the ranges of hits so far. ``then``, if given, is a
+    function of the resulting batches, run in the same worker, and the schema of what it yields.
     """
     schema = [docs.schema[c] for c in keep]
     more = fields("n_words bigint, n_hit bigint, items array<string>" + f", spans {_RANGES}" * spans)
     sc, out = docs.sparkSession.sparkContext, None
     source = docs.select(*dict.fromkeys([*keep, text]))
-    sets = list(_blocks(benchmark, item, item_text, n, block_bytes)) if block_bytes else []
-    for block in sets or [_Set([], n)]:
-        shared, names = sc.broadcast(block), list(keep)
+    count = _block_count(benchmark, item, item_text, block_bytes)
+    for k in range(count):
+        shared, names = sc.broadcast(_Set(_block(benchmark, item, item_text, k, count), n)), list(keep)
 
         def scan(batches, shared=shared, names=names):
-            return _scan(batches, text, names, n, shared.value, spans or len(sets) > 1)
+            return _scan(batches, text, names, n, shared.value, spans or count > 1)
 
-        if len(sets) <= 1:
-            return source.mapInArrow(scan, T.StructType([*schema, *more]))
-        out = _merge(out if out is not None else source, scan, text, keep, schema)
-    return _finish(out, text, keep, schema, more)
+        if count == 1:
+            return source.mapInArrow(lambda batches: then[0](scan(batches)), then[1]) if then else source.mapInArrow(scan, T.StructType([*schema, *more]))
+        # written after each block, so that no worker holds two of them and the driver lets each go
+        out = cut(_merge(out if out is not None else source, scan, text, keep, schema), "decontam-block")
+        shared.destroy()
+    done = _finish(out, text, keep, schema, more)
+    return done.mapInArrow(*then) if then else done
 
 
 def _merge(df: DataFrame, scan, text: str, keep: tuple[str, ...], schema: list) -> DataFrame:
@@ -196,22 +219,20 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", min_ite
     """The documents with as few as ``min_items`` test items go; from the others, hit words are cut out and
     each cut leaves one space. Columns stay; rows without a hit stay byte for byte. n_chars, where there is
     such a column, follows the text of a row that was cut."""
-    own = free_name(docs, "row_keep")
-    packed = docs.select(F.struct(*docs.columns).alias(own), F.col(text).alias(text))
-    got = hits(packed.select(own, text), benchmark, text=text, keep=(own, text) if own != text else (own,), spans=True, **options)
-    schema = docs.schema
+    plain, names = plain_names(docs)
+    place = {c.lower(): n for c, n in zip(docs.columns, names)}
+    own, sizes = place[text.lower()], place.get("n_chars")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pc.less(pc.list_value_length(batch.column("items")), min_items))
             spans = batch.column("spans").to_pylist()
-            rows = batch.column(own)
-            columns = {f.name: rows.field(k) if not rows.offset else rows.flatten()[k] for k, f in enumerate(rows.type)}
+            columns = {c: batch.column(c) for c in names}
             if any(spans):
-                fixed = [_without(t, s) for t, s in zip(columns[text].to_pylist(), spans)]
-                columns[text] = pa.array(fixed, columns[text].type)
-                if "n_chars" in columns:
-                    columns["n_chars"] = pa.array([len(f) if s else c for f, s, c in zip(fixed, spans, columns["n_chars"].to_pylist())], columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-    return got.where(F.size("items") < min_items).select(own, "spans").mapInArrow(clean, schema)
+                fixed = [_without(t, s) for t, s in zip(columns[own].to_pylist(), spans)]
+                columns[own] = pa.array(fixed, columns[own].type)
+                if sizes is not None:
+                    columns[sizes] = pa.array([len(f) if s else c for f, s, c in zip(fixed, spans, columns[sizes].to_pylist())], columns[sizes].type)
+            yield pa.RecordBatch.from_pydict(columns)
 
+    return hits(plain, benchmark, text=own, keep=tuple(names), spans=True, then=(clean, plain.schema), **options).toDF(*docs.columns)
