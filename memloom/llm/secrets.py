@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memloom.llm.shared import cut, fields, free_name
+from memloom.llm.shared import cut, fields, plain_names
 
 #: Base kinds in the order of the contract. A keyword's letters are written in both cases, so that no other
 #: character folds onto them.
@@ -33,6 +33,8 @@ _SIGN = {"pem": "-----BEGIN ", "github": "gh", "slack": "xox", "google": "AIza",
 ORDER = {k: n for n, k in enumerate((*KINDS, *MORE))}
 #: A value that more owners than this hold is an example that people copy.
 MAX_OWNERS = 3
+#: Values that are broadcast to the candidates, the most frequent ones (about 100 bytes each).
+HOT_VALUES = 1_000
 _HEX_BYTE = bytes(1 if c in b"0123456789abcdef" else 0 for c in range(256))
 
 
@@ -70,15 +72,21 @@ def candidates(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...]) ->
 
 
 def ownership(found: DataFrame, *, repository: str, owner: str, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """value, n_repositories, n_owners, copied (more than ``max_owners`` owners hold it). Null counts as no
-    owner; a value without any owner isn't copied. Equal (value, repository, owner) rows meet before the shuffle
-    that counts, so one owner with a third of all rows is one row by then."""
-    pairs = found.select(F.explode("found.value").alias("value"), F.col(repository).cast("string").alias("r"), F.col(owner).cast("string").alias("o")).distinct()
-    by_owner = pairs.groupBy("value", "o").agg(F.collect_set("r").alias("rs"))
-    return (
-        by_owner.groupBy("value").agg(F.sum(F.size("rs")).cast("long").alias("n_repositories"), F.count("o").alias("n_owners"))
-        .withColumn("copied", F.col("n_owners") > max_owners)
-    )
+    """value, n_rows, n_repositories, n_owners (distinct ones), copied (more than ``max_owners`` owners hold it).
+    Null counts as no repository and no owner; a value without any owner isn't copied. Equal (value, repository,
+    owner) rows meet before the shuffle that counts, so one owner with a third of all rows is one row by then."""
+    held = found.select(F.explode("found.value").alias("value"), F.col(repository).cast("string").alias("r"), F.col(owner).cast("string").alias("o"))
+    held = held.groupBy("value", "r", "o").agg(F.count("*").alias("n"))
+    counted = held.groupBy("value").agg(F.sum("n").alias("n_rows"), F.count_distinct("r").alias("n_repositories"), F.count_distinct("o").alias("n_owners"))
+    return counted.withColumn("copied", F.col("n_owners") > max_owners)
+
+
+def _with_ownership(one: DataFrame, held: DataFrame) -> DataFrame:
+    """``one`` (a row for each candidate) with what is known of its value. The ``HOT_VALUES`` most frequent values are
+    broadcast, so that no widely copied example is a hot key; the rest, each of which has less than one in
+    ``HOT_VALUES`` of the rows, is joined by value."""
+    hot = F.broadcast(cut(held.orderBy(F.desc("n_rows"), "value").limit(HOT_VALUES), "secret-hot-values"))
+    return one.join(hot, "value").unionByName(one.join(hot.select("value"), "value", "left_anti").join(held, "value"))
 
 
 def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), repository: str = "source", owner: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
@@ -93,8 +101,8 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
     names = tuple(dict.fromkeys([*keep, repository, owner]))
     found = cut(candidates(docs, text=text, keep=names).withColumn(row, F.monotonically_increasing_id()), "secrets")
     some = found.where(F.size("found") > 0)
-    held = ownership(some, repository=repository, owner=owner, max_owners=max_owners)
-    one = some.select(row, F.explode("found").alias("x")).select(row, "x.kind", "x.lo", "x.hi", "x.value").join(held, "value")
+    held = cut(ownership(some, repository=repository, owner=owner, max_owners=max_owners), "secret-values")
+    one = _with_ownership(some.select(row, F.explode("found").alias("x")).select(row, "x.kind", "x.lo", "x.hi", "x.value"), held)
     joined = one.groupBy(row).agg(
         F.sort_array(F.collect_list(F.when(~F.col("copied") & ~F.col("kind").isin(*KINDS), F.struct("lo", "hi", "kind")))).alias("more"),
         F.count_if(~F.col("copied")).alias("n_live"), F.count_if("copied").alias("n_copied"),
@@ -121,22 +129,19 @@ def report(docs: DataFrame, **options) -> DataFrame:
 def redact(docs: DataFrame, *, text: str = "text", repository: str = "source", owner: str = "source", max_owners: int = MAX_OWNERS, mark: str = "<secret>") -> DataFrame:
     """The documents with live-looking credentials replaced by ``mark``; copied examples and all other rows stay
     byte for byte, and no row goes. n_chars, where there is such a column, follows a text that was changed."""
-    row = free_name(docs, "row_no")
-    packed = docs.select(F.struct(*docs.columns).alias(row), *dict.fromkeys([text, repository, owner]))
-    found = cut(candidates(packed, text=text, keep=tuple(dict.fromkeys([row, repository, owner]))), "secrets")
-    some = found.where(F.size("found") > 0)
-    number = free_name(docs, "row_id")
-    some = cut(some.withColumn(number, F.monotonically_increasing_id()), "secret-rows")
-    held = ownership(some, repository=repository, owner=owner, max_owners=max_owners)
-    live = some.select(number, F.explode("found").alias("x")).select(number, "x.lo", "x.hi", F.col("x.value").alias("value")).join(held.where(~F.col("copied")).select("value"), "value")
-    live = live.groupBy(number).agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
-    schema = docs.schema
+    plain, names = plain_names(docs)
+    place = {c.lower(): n for c, n in zip(docs.columns, names)}
+    own, repo, holder, sizes = place[text.lower()], place[repository.lower()], place[owner.lower()], place.get("n_chars")
+    numbered = cut(candidates(plain, text=own, keep=tuple(names)).withColumn("row_no", F.monotonically_increasing_id()), "secrets")
+    some = numbered.where(F.size("found") > 0)
+    held = cut(ownership(some, repository=repo, owner=holder, max_owners=max_owners), "secret-values")
+    live = _with_ownership(some.select("row_no", F.explode("found").alias("x")).select("row_no", "x.lo", "x.hi", F.col("x.value").alias("value")), held).where(~F.col("copied"))
+    live = live.groupBy("row_no").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column(row)
-            columns = {f.name: c for f, c in zip(rows.type, rows.flatten())}
-            texts, sizes = columns[text].to_pylist(), columns["n_chars"].to_pylist() if "n_chars" in columns else None
+            columns = {c: batch.column(c) for c in names}
+            texts, lengths = columns[own].to_pylist(), columns[sizes].to_pylist() if sizes else None
             for k, spans in enumerate(batch.column("spans").to_pylist()):
                 if not spans:
                     continue
@@ -146,12 +151,12 @@ def redact(docs: DataFrame, *, text: str = "text", repository: str = "source", o
                         out += [texts[k][at : max(at, x["lo"])], mark] if x["lo"] >= at else []
                         at = x["hi"]
                 texts[k] = "".join([*out, texts[k][at:]])
-                if sizes is not None:
-                    sizes[k] = len(texts[k])
-            columns[text] = pa.array(texts, columns[text].type)
-            if sizes is not None:
-                columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-    changed = some.join(live, number, "left").select(row, "spans").mapInArrow(clean, schema)
-    return found.where(F.size("found") == 0).select(f"{row}.*").unionByName(changed)
+                if lengths is not None:
+                    lengths[k] = len(texts[k])
+            columns[own] = pa.array(texts, columns[own].type)
+            if lengths is not None:
+                columns[sizes] = pa.array(lengths, columns[sizes].type)
+            yield pa.RecordBatch.from_pydict(columns)
+
+    changed = some.join(live, "row_no", "left").select(*names, "spans").mapInArrow(clean, plain.schema)
+    return numbered.where(F.size("found") == 0).select(*names).unionByName(changed).toDF(*docs.columns)
