@@ -26,6 +26,8 @@ TEMPLATES: dict[str, list[str]] = {
         "This project is distributed under the Apache License 2.0.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "The code is available under the terms of the Apache 2.0 license.",
     ],
     "mit": [
         "Released under the MIT License.",
@@ -33,6 +35,10 @@ TEMPLATES: dict[str, list[str]] = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "SPDX-License-Identifier: MIT",
+        "Permission is hereby granted, free of charge, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions.",
+        "The Software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
+        "MIT License. Copyright (c) 2021 The Authors.",
+        "The code is MIT licensed.",
     ],
     "bsd": [
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
@@ -40,32 +46,45 @@ TEMPLATES: dict[str, list[str]] = {
         "Released under the BSD 3-Clause License.",
         "Licensed under the BSD 2-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Distributed under the BSD license.",
     ],
     "gpl-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
         "Released under the GNU GPL license version 3.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "Licensed under the GPLv3.",
+        "This file is part of a program under the GNU General Public License v3.0.",
     ],
     "gpl-2.0": [
         "This work is licensed under the GNU General Public License, version 2.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version.",
         "SPDX-License-Identifier: GPL-2.0-only",
+        "Released under the GNU GPL license version 2.",
+        "Licensed under the GPLv2 or, at your option, any later version.",
     ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License.",
         "You can redistribute it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "This library is distributed under the LGPL license.",
+        "This library is free software; you can redistribute it under the terms of the GNU Library General Public License, version 2.1.",
     ],
     "agpl": [
         "This work is licensed under the GNU Affero General Public License, version 3.",
         "You can redistribute it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
         "SPDX-License-Identifier: AGPL-3.0-only",
+        "Released under the AGPL license version 3.",
     ],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, Version 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
+        "If a copy of the MPL was not distributed with this file, you can obtain one at http://mozilla.org/MPL/2.0/.",
     ],
     "cc-by-nc": [
         "Licensed under CC BY-NC 4.0.",
@@ -89,9 +108,36 @@ TEMPLATES: dict[str, list[str]] = {
         "To the extent possible under law, the author has waived all copyright and related rights to this work (public domain).",
         "Licensed under the Unlicense license.",
     ],
+    "boost": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Use, modification and distribution are subject to the Boost Software License, Version 1.0.",
+        "SPDX-License-Identifier: BSL-1.0",
+    ],
+    "epl": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+        "Licensed under the Eclipse Public License - v 1.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "cddl": [
+        "The contents of this file are subject to the terms of the Common Development and Distribution License.",
+        "Licensed under the CDDL license, version 1.0.",
+        "SPDX-License-Identifier: CDDL-1.0",
+    ],
+    "artistic": [
+        "You may distribute under the terms of the Artistic License.",
+        "This library is released under the Artistic License 2.0.",
+        "SPDX-License-Identifier: Artistic-2.0",
+    ],
     "proprietary": [
         "Copyright 2024 Example Inc. All rights reserved.",
         "All rights reserved. No part of this publication may be reproduced without permission of the publisher.",
+        "All rights reserved.",
+        "Copyright the company, all rights reserved. Unauthorized use is prohibited.",
         "This software is proprietary and confidential; unauthorized copying is prohibited without a license agreement.",
     ],
 }
@@ -118,17 +164,30 @@ UNKNOWN_TEXTS = [
     "There is a warranty and a license plate on the car.",
     "The apache helicopter flew over the village.",
     "The version of the story that the license clerk told was odd.",
+    "The copyright of the photo is disputed and the license has expired.",
+    "A permission notice hung on the door of the school.",
+    "The eclipse was seen by the general public, no license needed.",
+    "An artistic license covers the changes in the film.",
+    "The permission was granted to the team after a long debate.",
+    "You need a license to fish, and a copy of it must be shown.",
+    "The warranty does not cover damage caused by the user of the car.",
+    "Copyright is a matter of law, and the publisher asked for legal advice.",
     "He studied at MIT and lost his license there.",
     "The general public needs a license to hunt.",
 ]
 UNKNOWN = "unknown"
 #: An n-gram is a feature only if it holds one of these; so a paragraph without any of them has no feature and is
 #: unknown, and needs no scoring.
-STEMS = r"licen[sc]e|copyright|warrant|permission|permitted|redistribut|public domain|rights reserved|creative commons|\bcc[^a-z0-9]+by\b|\bcc0\b|proprietary|unencumbered|apache|mozilla|\bgnu\b|\bgpl\b|\bbsd\b"
+STEMS = r"licen[sc]e|copyright|warrant|permission|permitted|redistribut|public domain|rights reserved|creative commons|\bcc[^a-z0-9]+by\b|\bcc0\b|proprietary|unencumbered|apache|mozilla|\bgnu\b|\b[al]?gpl|\bbsd\b|spdx|\bmpl\b|\bcddl\b|\bdisclaimer\b"
 #: So are these, in a paragraph that holds one of the former.
-DETAIL = r"\bversion [0-9]|\bv 2 0\b|lesser|affero|noncommercial|sharealike|\bnc\b|\bsa\b|spdx|free software"
+DETAIL = r"\bversion [0-9]|\bv 2 0\b|lesser|affero|noncommercial|sharealike|\bnc\b|\bsa\b|spdx|free software|eclipse|artistic|boost|\bisc\b|\bmit\b|common development"
+#: The same before a text is split into words: between two words of a stem may stand signs and line ends.
+LOOSE = "(?i)" + STEMS.replace(" ", r"[^a-z0-9]+")
 WORDS = 4
-SLOTS = 1 << 16
+SLOTS = 1 << 13
+#: Words of a window, and from one window's beginning to the next one's: a long paragraph is scored in windows, so
+#: that a phrase of up to half a window is whole in one of them.
+WINDOW, STRIDE = 48, 24
 #: Calibrated probability below which a paragraph is unknown, and the share of a paragraph's or template's words
 #: that the other must hold to confirm a family.
 CONFIDENT, CONFIRMS = 0.5, 0.6
@@ -143,30 +202,52 @@ def features_of(words: list[str]) -> set[str]:
     return {g for g in grams if re.search(f"{STEMS}|{DETAIL}", g)}
 
 
-def _slot(gram: str, salt: int) -> int:
-    """The place of an n-gram in the literal tables; CRC-32 is the same in SQL."""
-    return zlib.crc32(f"{salt}{gram}".encode()) % SLOTS
+def _slots(gram: str, salt: int) -> list[int]:
+    """The two places of an n-gram in the literal tables; CRC-32 is the same in SQL."""
+    return [zlib.crc32(f"{salt}{side}{gram}".encode()) % SLOTS for side in "ab"]
+
+
+def _table(vocabulary: list[str], salt: int) -> list[int] | None:
+    """The number of the n-gram at each place, -1 elsewhere, with every n-gram at one of its two places; None if it
+    can't be had with this salt."""
+    table = [-1] * SLOTS
+    for k in range(len(vocabulary)):
+        own, at = k, _slots(vocabulary[k], salt)[0]
+        for _ in range(200):
+            own, table[at] = table[at], own
+            if own < 0:
+                break
+            one, two = _slots(vocabulary[own], salt)
+            at = two if at == one else one
+        else:
+            return None
+    return table
 
 
 def _fit(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 600, rate: float = 1.0, shrink: float = 5e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Multinomial logistic regression by gradient descent with momentum: weights and biases."""
-    w, b = np.zeros((x.shape[1], classes)), np.zeros(classes)
-    vw, vb = np.zeros_like(w), np.zeros_like(b)
-    goal = np.eye(classes)[y]
+    """Multinomial logistic regression by gradient descent with momentum: weights and biases. The weights are held as
+    sums of rows (there are fewer rows than n-grams), and made out of them at the end."""
+    a, b = np.zeros((len(x), classes)), np.zeros(classes)
+    va, vb = np.zeros_like(a), np.zeros_like(b)
+    goal, alike = np.eye(classes)[y], x @ x.T
     for _ in range(rounds):
-        z = x @ w + b
+        z = alike @ a + b
         p = np.exp(z - z.max(1, keepdims=True))
         d = (p / p.sum(1, keepdims=True) - goal) / len(x)
-        vw, vb = 0.9 * vw - rate * (x.T @ d + shrink * w), 0.9 * vb - rate * d.sum(0)
-        w, b = w + vw, b + vb
-    return w, b
+        va, vb = 0.9 * va - rate * (d + shrink * a), 0.9 * vb - rate * d.sum(0)
+        a, b = a + va, b + vb
+    return x.T @ a, b
 
 
 @functools.cache
 def model() -> dict:
     """Classes, n-grams with their weights, biases, and the temperature that calibrates the probabilities: of a
     grid, the one of least log-loss over sentences left out of training (a third at a time)."""
-    rows = [(f, t) for f, ts in TEMPLATES.items() for t in ts] + [(UNKNOWN, t) for t in UNKNOWN_TEXTS]
+    whole = [(f, t) for f, ts in TEMPLATES.items() for t in ts] + [(UNKNOWN, t) for t in UNKNOWN_TEXTS]
+    rows = []
+    for f, t in whole:  # a sentence as it stands, and as a window may cut it
+        words = t.split()
+        rows += [(f, t)] + [(f, " ".join(part)) for part in (words[: len(words) * 2 // 3], words[len(words) // 3 :]) if len(words) >= 18]
     classes = [*TEMPLATES, UNKNOWN]
     feats = [features_of(words_of(t)) for _, t in rows]
     vocabulary = sorted(set().union(*feats))
@@ -189,10 +270,8 @@ def model() -> dict:
 
     heat = min((0.25 * 1.25**k for k in range(16)), key=loss)
     w, b = _fit(x, y, len(classes))
-    # an n-gram in every slot at most, so that all weights are kept
-    salt = next(k for k in itertools.count() if len({_slot(g, k) for g in vocabulary}) == len(vocabulary))
-    taken = {_slot(g, salt): k for k, g in enumerate(vocabulary)}
-    return {"classes": classes, "vocabulary": vocabulary, "w": w / heat, "b": b / heat, "salt": salt, "taken": taken}
+    salt, table = next((k, t) for k in itertools.count() if (t := _table(vocabulary, k)) is not None)
+    return {"classes": classes, "vocabulary": vocabulary, "w": w / heat, "b": b / heat, "salt": salt, "table": table}
 
 
 def _literal(values: list[str], kind: str) -> Column:
@@ -204,18 +283,21 @@ def _score(words: Column) -> Column:
     """family, probability, confirmed of a paragraph given as its words."""
     m = model()
     n, classes = len(m["classes"]), m["classes"]
-    places = _literal([str(m["taken"].get(s, -1) + 1) for s in range(SLOTS)], "int")  # 0 where no n-gram is
+    places = _literal([str(k + 1) for k in m["table"]], "int")  # 0 where no n-gram is
     names = _literal(["", *m["vocabulary"]], "string")
     flat = _literal([f"{v:.6f}" for row in m["w"] for v in row], "double")
     last = F.size(words)
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(WORDS)), lambda k: F.when(last >= k, F.transform(F.sequence(F.lit(1), F.greatest(last - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, k), " "))).otherwise(F.array().cast("array<string>"))))
     grams = F.array_distinct(F.filter(grams, lambda g: g.rlike(f"{STEMS}|{DETAIL}")))
-    place = lambda g: F.element_at(places, F.pmod(F.crc32(F.concat(F.lit(str(m["salt"])), g).cast("binary")), F.lit(SLOTS)).cast("int") + 1)
-    known = F.filter(F.transform(grams, lambda g: F.struct(g.alias("g"), place(g).alias("k"))), lambda x: F.element_at(names, x.k + 1) == x.g)
+    place = lambda g, side: F.element_at(places, F.pmod(F.crc32(F.concat(F.lit(f"{m['salt']}{side}"), g).cast("binary")), F.lit(SLOTS)).cast("int") + 1)
+    found = F.transform(grams, lambda g: F.struct(g.alias("g"), place(g, "a").alias("a"), place(g, "b").alias("b")))
+    found = F.transform(found, lambda x: F.when(F.element_at(names, x.a + 1) == x.g, x.a).when(F.element_at(names, x.b + 1) == x.g, x.b).otherwise(0))
+    found = F.filter(found, lambda k: k > 0)
+    known = F.transform(found, lambda k: F.struct(k.alias("k")))
     known = F.transform(known, lambda x: F.slice(flat, (x.k - 1) * n + 1, F.lit(n)))
     zero, bias = F.array(*[F.lit(0.0)] * n), F.array(*[F.lit(float(v)) for v in m["b"]])
     total = F.aggregate(known, zero, lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
-    z = F.transform(F.array(F.struct(total.alias("t"), F.greatest(F.size(grams), F.lit(1)).alias("m"))), lambda s: F.zip_with(s.t, bias, lambda p, q: p / F.sqrt(s.m) + q))[0]
+    z = F.transform(F.array(F.struct(total.alias("t"), F.greatest(F.size(found), F.lit(1)).alias("m"))), lambda s: F.zip_with(s.t, bias, lambda p, q: p / F.sqrt(s.m) + q))[0]
 
     def soft(z: Column) -> Column:
         e = F.transform(F.array(z), lambda v: F.transform(v, lambda x: F.exp(x - F.array_max(v))))[0]
@@ -236,22 +318,31 @@ def _score(words: Column) -> Column:
 
 def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per document: ``keep``, n_paragraphs, and licences: an array of (paragraph, family, probability,
-    confirmed) of the paragraphs whose calibrated family isn't unknown, in their order.
+    confirmed), one for each family that a window of the paragraph has, with the greatest probability; paragraphs
+    whose windows are all of the unknown class have none.
 
-    A paragraph is a line that isn't blank, counted from 1. Null and empty texts have none. Every row gives one
-    row; long texts are scored whole."""
-    stems = f"(?i){STEMS}"
+    Paragraphs stand between lines without letters and digits (blank ones, or comment signs alone) and are counted
+    from 1; a notice wrapped over several lines is one paragraph, and comment signs are no words. Null and empty
+    texts have none. Every row gives one row; long texts are scored whole."""
     body = F.coalesce(F.col(text), F.lit(""))
-    own, lines = free_name(docs, "lines"), free_name(docs, "found")
-    paragraphs = F.filter(F.split(body, "\n"), lambda p: F.trim(p) != "")
-    rows = docs.select(*keep, paragraphs.alias(own), body.rlike(stems).alias(lines))
-    marked = F.filter(F.transform(F.col(own), lambda p, k: F.struct((k + 1).alias("paragraph"), p.alias("p"))), lambda x: x.p.rlike(stems))
-    scored = F.transform(
-        F.transform(marked, lambda x: F.struct(x.paragraph.alias("paragraph"), _score(F.regexp_extract_all(F.lower(x.p), F.lit("[a-z0-9]+"), 0)).alias("s"))),
-        lambda x: F.struct(x.paragraph.alias("paragraph"), x.s.family.alias("family"), x.s.probability.alias("probability"), x.s.confirmed.alias("confirmed")),
-    )
+    own, lines = free_name(docs, "paragraphs"), free_name(docs, "found")
+    paragraphs = F.filter(F.split(body, r"\n(?:[^\p{L}\p{N}\n]*\n)+"), lambda p: p.rlike(r"[\p{L}\p{N}]"))
+    rows = docs.select(*keep, paragraphs.alias(own), body.rlike(LOOSE).alias(lines))
+
+    def windows(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - STRIDE, F.lit(1)), F.lit(STRIDE))
+        return F.filter(F.transform(starts, lambda k: F.slice(words, k, F.lit(WINDOW))), lambda w: F.array_join(w, " ").rlike(STEMS))
+
+    def families(scores: Column, paragraph: Column) -> Column:
+        named = F.array_sort(F.array_distinct(F.transform(F.filter(scores, lambda x: x.family != UNKNOWN), lambda x: x.family)))
+        return F.transform(named, lambda f: F.struct(paragraph.alias("paragraph"), f.alias("family"), F.array_max(F.transform(F.filter(scores, lambda x: x.family == f), lambda x: x.probability)).alias("probability"), F.exists(scores, lambda x: (x.family == f) & x.confirmed).alias("confirmed")))
+
+    marked = F.filter(F.transform(F.col(own), lambda p, k: F.struct((k + 1).alias("paragraph"), p.alias("p"))), lambda x: x.p.rlike(LOOSE))
+    cut_up = F.transform(marked, lambda x: F.struct(x.paragraph.alias("paragraph"), windows(F.regexp_extract_all(F.lower(x.p), F.lit("[a-z0-9]+"), 0)).alias("w")))
+    scored = F.transform(cut_up, lambda x: F.struct(x.paragraph.alias("paragraph"), F.transform(x.w, _score).alias("s")))
+    scored = F.flatten(F.transform(scored, lambda x: families(x.s, x.paragraph)))
     none = F.array().cast("array<struct<paragraph:int,family:string,probability:double,confirmed:boolean>>")
-    return rows.select(*keep, F.size(own).cast("long").alias("n_paragraphs"), F.when(F.col(lines), F.filter(scored, lambda x: x.family != UNKNOWN)).otherwise(none).alias("licences"))
+    return rows.select(*keep, F.size(own).cast("long").alias("n_paragraphs"), F.when(F.col(lines), scored).otherwise(none).alias("licences"))
 
 
 def report(docs: DataFrame) -> DataFrame:
