@@ -16,7 +16,7 @@ from memloom.llm.shared import chunks, fields
 
 #: Labelled documents that the likelihoods are learned from, at most about this many of all languages.
 SAMPLE_DOCUMENTS = 20_000
-#: Hashed byte n-grams of one to three bytes with the word borders among them.
+#: Hashed n-grams of three bytes, with the word borders among them.
 BUCKETS = 4_096
 #: Documents of one numpy step: a row of all buckets is 16 KiB.
 CHUNK_ROWS = 100
@@ -109,12 +109,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE_DOCUMENTS) -> Model:
-    """Likelihoods from text and non-null lang of documents that aren't held out: a bounded sample, the documents
-    whose id's hash is in the smallest share that holds about ``sample``. Each task sends one vector for each
-    language; their sums reach the driver."""
-    rows = docs.where(F.col(lang).isNotNull() & ~held_out(doc_id))
-    share = min(1.0, sample / max(1, rows.count()))
-    rows = rows.where(F.pmod(F.xxhash64(doc_id), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    """Likelihoods from text and non-null lang of documents that aren't held out: a bounded sample, in equal parts
+    for the languages, so that a rare one is learned as well: of each, the documents whose id's hash is in the
+    smallest share that holds about its part. Counts of n-grams are summed up by language and bucket in the cluster;
+    only the sums, at most ``BUCKETS`` for each language, reach the driver."""
+    rows = docs.where(F.col(lang).isNotNull() & ~held_out(doc_id)).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.pmod(F.xxhash64(doc_id), F.lit(1 << 30)).alias("place"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    part = sizes.agg(F.lit(sample) / F.greatest(F.count("*"), F.lit(1))).first()[0]
+    rows = rows.join(F.broadcast(sizes.select("lang", (F.least(F.lit(1.0), F.lit(part) / F.col("n")) * F.lit(1 << 30)).alias("end"))), "lang").where("place <= end").select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -123,11 +125,13 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: st
                 seen, langs = counts(data, offsets), np.array(part.column("lang").to_pylist(), object)
                 for k in set(langs):
                     totals[k] = totals.get(k, 0) + seen[langs == k].sum(0, dtype=np.float64)
-        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(totals), pa.string()), "v": pa.array([v.astype("<f8").tobytes() for v in totals.values()], pa.binary())})
+        for k, v in totals.items():
+            at = np.flatnonzero(v)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([k] * len(at), pa.string()), "bucket": pa.array(at.astype(np.int32)), "n": pa.array(v[at].astype(np.int64))})
 
     totals: dict[str, np.ndarray] = {}
-    for row in rows.coalesce(16).mapInArrow(count, "lang string, v binary").toLocalIterator():
-        totals[row.lang] = totals.get(row.lang, 0) + np.frombuffer(bytes(row.v), "<f8")
+    for row in rows.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+        totals.setdefault(row.lang, np.zeros(BUCKETS))[row.bucket] = row.n
     return Model(totals)
 
 
