@@ -68,7 +68,8 @@ def terms(text: Column) -> Column:
 
 
 def squash(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9_]+", " "))
+    """Lower-case letters, digits and underscores of any script, runs of all else as one space."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "))
 
 
 def words(text: Column) -> Column:
@@ -80,6 +81,22 @@ def unique_ratio(text: Column) -> Column:
     return F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w)).otherwise(F.lit(0.0))
 
 
+def strip(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, r"^[ \t\n\r]+|[ \t\n\r]+$", "")
+
+
+def paragraphs(body: Column, least: int = 20) -> Column:
+    """What stands between two line ends, stripped; shorter pieces than ``least`` characters go."""
+    return F.filter(F.transform(F.split(body, "\n\n"), strip), lambda p: F.length(p) >= least)
+
+
+def thoughts(text: Column, least: int = 5) -> Column:
+    """(sentence, role) of each sentence of at least ``least`` characters."""
+    parts = F.filter(F.transform(F.split(strip(text), r"(?<=[.!?])\s+"), strip), lambda s: F.length(s) >= least)
+    return F.transform(parts, lambda s: F.struct(s.alias("sentence"), role(s).alias("role")))
+
+
 def sentences(text: Column, min_tokens: int = 3) -> Column:
     """Trimmed sentences of at least ``min_tokens`` words."""
     parts = F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s))
@@ -106,16 +123,21 @@ def anchors(text: Column, buffer: Column) -> Column:
 
 
 def quality_score(text: Column, buffer: Column | None = None) -> Column:
-    """The gate's cascade; ``buffer`` is the joined conversation before the text (null or none: no bio check)."""
-    body, n, u = F.trim(text), F.size(words(text)), unique_ratio(text)
+    """The gate's cascade; ``buffer`` is the joined conversation before the text (null, empty or none: no bio
+    check)."""
+    body, n, u = F.trim(text), F.size(words(text)), unique_ratio(F.lower(text))
     template = functools.reduce(operator.or_, [F.contains(F.lower(body), F.lit(t.lower())) for t in TEMPLATES])
     score = F.when(body.isNull() | (body == ""), 0.0).when(F.length(body) < 10, 0.05).when(template, 0.1)
     if buffer is not None:
-        score = score.when(buffer.isNotNull() & (bio_attributes(body) >= 3) & (anchors(body, buffer) < 2), 0.05)
+        score = score.when((F.length(buffer) > 0) & (bio_attributes(body) >= 3) & (anchors(body, buffer) < 2), 0.05)
     full = F.greatest(F.lit(0.5), F.least(F.lit(1.0), 0.4 + 0.5 * F.least(F.lit(1.0), n / 30) + 0.2 * u))
     return score.when(n < 3, 0.15).when(u < 0.4, 0.2).otherwise(full)
 
 
+def quality_status(score: Column) -> Column:
+    return F.when(score < QUALITY, "rejected").otherwise("pending")
+
+
 def edge_type(src: Column, dst: Column, g: Column, anti: Column) -> Column:
     """The ordered rules by which a pair of texts and its scores get a type."""
     both = F.concat_ws(" ", F.coalesce(src, F.lit("")), F.coalesce(dst, F.lit("")))

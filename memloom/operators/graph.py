@@ -20,6 +20,12 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return both.where("u <> v").distinct()
 
 
+def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id) of the nodes at no edge's end."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return nodes.select("id").join(ends, "id", "left_anti")
+
+
 def weighted_adjacency(edges: DataFrame) -> DataFrame:
     """(u, v, a): absolute weights of both directions, parallel edges summed."""
     both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.abs("weight").alias("a")).union(edges.select("dst", "src", F.abs("weight")))
@@ -91,9 +97,11 @@ def ollivier(edges: DataFrame, alpha: float = 0.5) -> DataFrame:
 
 def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:
     """(id, score) after ``rounds`` steps of personalised PageRank on signed weights, row-normalised by their
-    absolute sum; mass of nodes without outgoing edges is lost. Of parallel edges the greatest counts. Ranks are
+    absolute sum; mass of nodes without outgoing edges is lost. Of parallel edges the last counts: by the column
+    created, where there is one, then by type. Ranks are
     cut every round, so the lineage stays short."""
-    w = edges.groupBy("src", "dst").agg(F.max("weight").alias("w"))
+    last = [c for c in ("created", "edge_type") if c in edges.columns]
+    w = edges.groupBy("src", "dst").agg(F.max_by("weight", F.struct(*last, "weight")).alias("w"))
     out = w.join(w.groupBy("src").agg(F.sum(F.abs("w")).alias("t")), "src").where("t > 0").select("src", "dst", (F.col("w") / F.col("t")).alias("p"))
     out = cut(out, "pagerank-steps")
     chosen = seeds.select("id").distinct().join(nodes.select("id"), "id", "left_semi")
@@ -164,27 +172,31 @@ def mean_field(edges: DataFrame, rounds: int = 5, alpha: float = 0.3, beta: floa
 
 def prune(edges: DataFrame, protect: float = 0.7) -> DataFrame:
     """Edges with kappa, s2, log_ratio and pruned: the evidence speaks for a zero weight, and no bottleneck
-    (kappa below -``protect``) is touched."""
-    scored = forman(edges).withColumn("s2", bounds.cosine_edge_variance(F.col("weight"), F.col("gamma_anti")))
+    (kappa below -``protect``) is touched. A stored variance (column s_squared) counts where it lies between 0 and
+    0.99."""
+    own = bounds.cosine_edge_variance(F.col("weight"), F.col("gamma_anti"))
+    if "s_squared" in edges.columns:
+        own = F.when((F.col("s_squared") > 0) & (F.col("s_squared") < 0.99), F.col("s_squared")).otherwise(own)
+    scored = forman(edges).withColumn("s2", own)
     scored = scored.withColumn("log_ratio", bounds.bmrs_log_ratio(F.col("weight"), F.col("s2")))
     return scored.withColumn("pruned", (F.col("kappa") >= -protect) & (F.col("log_ratio") > 0))
 
 
 def induce(pairs: DataFrame, directional: float = 0.2) -> DataFrame:
-    """(src, dst, edge_type, weight, gamma_score, gamma_anti) of pairs (i, j, cos, fi, bi, fj, bj): both directions
-    where the antisymmetric part is weak, else the one that it points to."""
+    """(src, dst, edge_type, weight, gamma_score, gamma_anti) of pairs (i, j, cos, fi, bi, fj, bj and texts ti, tj):
+    both directions where the antisymmetric part is weak, else the one that it points to. Null texts are empty."""
     fi, bi, fj, bj = (F.col(c) for c in ("fi", "bi", "fj", "bj"))
     scored = pairs.withColumns({"anti": vec.gamma_anti(fi, bi, fj, bj), "sym": vec.gamma_sym(fi, bi, fj, bj)})
     scored = scored.withColumn("strength", vec.direction_strength(F.col("anti"), vec.causal(fi, bi), vec.causal(fj, bj)))
-    there = F.struct(F.col("i").alias("src"), F.col("j").alias("dst"), (F.col("sym") + F.col("anti")).alias("gamma_score"), F.col("anti").alias("gamma_anti"))
-    back = F.struct(F.col("j").alias("src"), F.col("i").alias("dst"), (F.col("sym") - F.col("anti")).alias("gamma_score"), (-F.col("anti")).alias("gamma_anti"))
+    there = F.struct(F.col("i").alias("src"), F.col("j").alias("dst"), (F.col("sym") + F.col("anti")).alias("gamma_score"), F.col("anti").alias("gamma_anti"), F.col("ti").alias("said"), F.col("tj").alias("answer"))
+    back = F.struct(F.col("j").alias("src"), F.col("i").alias("dst"), (F.col("sym") - F.col("anti")).alias("gamma_score"), (-F.col("anti")).alias("gamma_anti"), F.col("tj").alias("said"), F.col("ti").alias("answer"))
     chosen = F.when(F.col("strength") < directional, F.array(there, back)).when(F.col("anti") > 0, F.array(there)).otherwise(F.array(back))
     rows = scored.select("cos", F.explode(chosen).alias("e")).select("e.*", "cos")
-    kind = edge_type(F.lit(""), F.lit(""), F.col("gamma_score"), F.col("gamma_anti"))
+    kind = edge_type(F.col("said"), F.col("answer"), F.col("gamma_score"), F.col("gamma_anti"))
     return rows.withColumn("edge_type", kind).withColumn("weight", vec.signed_weight(F.col("edge_type"), F.col("cos"))).select("src", "dst", "edge_type", "weight", "gamma_score", "gamma_anti")
 
 
-def potentials(nodes: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+def potentials(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component, x): values that agree along a tree of shortest ways from each component's least node, where
     an edge asks that its source be its type's sign times its target. As many rounds as the graph is deep."""
     sign = F.coalesce(F.create_map(*[F.lit(x) for kv in SIGNS.items() for x in kv])[F.col("edge_type")], F.lit(0.5))

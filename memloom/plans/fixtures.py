@@ -11,6 +11,11 @@ from memloom.operators.vectors import top_k
 from memloom.sources.scratch import cut
 
 NEIGHBOURS = 6
+#: Texts of the nodes, by id modulo 8: between them they meet every rule of the edge types.
+SAYINGS = [
+    "We keep the store on one disk.", "However the store is not safe there.", "To clarify, the store should be larger.", "We switched to a second disk.",
+    "The old disk is deprecated.", "Then the load went down.", "Exactly, the load is the same.", "The disk is slow because of the load.",
+]
 _edges: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -19,9 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, label, f, b, s, c of the embeddings: the first half of a vector is its forward view."""
+    """id, label, text, f, b, s, c of the embeddings: the first half of a vector is its forward view."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("v"))
-    rows = e.select("id", "label", F.slice("v", 1, 32).alias("f"), F.slice("v", 33, 32).alias("b"))
+    rows = e.select("id", "label", F.element_at(F.array(*[F.lit(t) for t in SAYINGS]), (F.col("id") % 8 + 1).cast("int")).alias("text"), F.slice("v", 1, 32).alias("f"), F.slice("v", 33, 32).alias("b"))
     return rows.withColumns({"s": vec.semantic(F.col("f"), F.col("b")), "c": vec.causal(F.col("f"), F.col("b"))})
 
 
@@ -39,7 +44,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _edges:
         pairs = knn(spark, sf_dir).where("cos >= 0").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "cos").groupBy("i", "j").agg(F.max("cos").alias("cos"))
         n = nodes(spark, sf_dir)
-        both = pairs.join(n.select(F.col("id").alias("i"), F.col("f").alias("fi"), F.col("b").alias("bi")), "i").join(n.select(F.col("id").alias("j"), F.col("f").alias("fj"), F.col("b").alias("bj")), "j")
+        both = pairs.join(n.select(F.col("id").alias("i"), F.col("f").alias("fi"), F.col("b").alias("bi"), F.col("text").alias("ti")), "i").join(n.select(F.col("id").alias("j"), F.col("f").alias("fj"), F.col("b").alias("bj"), F.col("text").alias("tj")), "j")
         _edges[key] = cut(graph.induce(both), "edges")
     return _edges[key]
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memloom.functions import text, vec
 from memloom.operators import embed, graph, regions
 from memloom.plans.fixtures import edges, nodes, table
-from memloom.plans.queries import _EDGES, _NODES, _SENT, _TOK, _WORDS, query, r6
+from memloom.plans.queries import _ANCHORS, _ATTRIBUTES, _BUFFER, _EDGES, _NODES, _SENT, _TOK, _WORDS, buffered, query, r6
 from memloom.streaming import dedup
 
 
@@ -22,16 +22,6 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(chunks).alias("chunk", "text")).withColumn("chunk", F.col("chunk") + 1)
 
 
-_BUFFER = "coalesce(array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), chr(10)), '')"
-_ATTRIBUTES = " + ".join(f"regexp_matches(text, '(?i){p.replace(chr(39), chr(39) * 2)}')::INT" for p in text.BIO_PATTERNS)
-_ANCHORS = "len(list_filter(list_distinct(regexp_extract_all(regexp_replace(text, '([^\\p{L}\\p{N}_])', '\\1\\1', 'g'), '(?:^|[^\\p{L}\\p{N}_])([A-Z][a-z]{2,})(?:$|[^\\p{L}\\p{N}_])', 1)), lambda w: contains(buffer, w)))"
-
-
-def _buffered(spark, d):
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-20, -1)
-    return table(spark, d, "conversations").withColumn("buffer", F.array_join(F.collect_list("text").over(before), "\n"))
-
-
 @query("I07_attribute_types", f"SELECT conv_id, turn, ({_ATTRIBUTES})::INT AS attributes FROM conversations")
 def _(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", text.bio_attributes(F.col("text")).alias("attributes"))
@@ -39,12 +29,12 @@ def _(spark, d):
 
 @query("I08_conversation_anchors", f"SELECT conv_id, turn, ({_ANCHORS})::INT AS anchors FROM (SELECT *, {_BUFFER} AS buffer FROM conversations)")
 def _(spark, d):
-    return _buffered(spark, d).select("conv_id", "turn", text.anchors(F.col("text"), F.col("buffer")).alias("anchors"))
+    return buffered(spark, d).select("conv_id", "turn", text.anchors(F.col("text"), F.col("buffer")).alias("anchors"))
 
 
 @query("I09_fabricated_bio", f"SELECT conv_id, turn, {_ATTRIBUTES} >= 3 AND {_ANCHORS} < 2 AS fabricated FROM (SELECT *, {_BUFFER} AS buffer FROM conversations)")
 def _(spark, d):
-    return _buffered(spark, d).select("conv_id", "turn", text.is_fabricated_bio(F.col("text"), F.col("buffer")).alias("fabricated"))
+    return buffered(spark, d).select("conv_id", "turn", text.is_fabricated_bio(F.col("text"), F.col("buffer")).alias("fabricated"))
 
 
 @query("I11_support_tag", """WITH t AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'so [Supported], no: [NOT supported]' WHEN 1 THEN '[irrelevant]' WHEN 2 THEN '[Not Supported] then [Supported].' ELSE event_type END AS a FROM events)
