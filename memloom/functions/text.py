@@ -91,6 +91,20 @@ def paragraphs(body: Column, least: int = 20) -> Column:
     return F.filter(F.transform(F.split(body, "\n\n"), strip), lambda p: F.length(p) >= least)
 
 
+def chunks(body: Column, least: int = 30, full: int = 800) -> Column:
+    """Stripped paragraphs of more than ``least`` characters, joined by blank lines; a chunk ends with the paragraph
+    that takes it beyond ``full`` characters."""
+    kept = F.filter(F.transform(F.split(body, "\n\n"), strip), lambda p: F.length(p) > least)
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("now"), F.lit(0).alias("n"))
+
+    def step(acc: Column, p: Column) -> Column:
+        now, n = F.concat(acc["now"], F.array(p)), acc["n"] + F.length(p)
+        done = F.when(n > full, F.concat(acc["done"], F.array(F.array_join(now, "\n\n")))).otherwise(acc["done"])
+        return F.struct(done.alias("done"), F.when(n > full, F.array().cast("array<string>")).otherwise(now).alias("now"), F.when(n > full, 0).otherwise(n).alias("n"))
+
+    return F.aggregate(kept, start, step, lambda acc: F.when(F.size(acc["now"]) > 0, F.concat(acc["done"], F.array(F.array_join(acc["now"], "\n\n")))).otherwise(acc["done"]))
+
+
 def thoughts(text: Column, least: int = 5) -> Column:
     """(sentence, role) of each sentence of at least ``least`` characters."""
     parts = F.filter(F.transform(F.split(strip(text), r"(?<=[.!?])\s+"), strip), lambda s: F.length(s) >= least)

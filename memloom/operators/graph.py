@@ -155,6 +155,16 @@ def motifs(edges: DataFrame, least: int = 2) -> DataFrame:
     return whole.join(returns, "pattern", "left").select("pattern", (F.col("n") - F.coalesce("r", F.lit(0))).cast("bigint").alias("cnt")).where(F.col("cnt") >= least)
 
 
+def motif_instances(edges: DataFrame, least: int = 2) -> DataFrame:
+    """(pattern, a, b, c): the chains of the patterns that :func:`motifs` counts. As many rows as there are chains,
+    which a hub makes many; the counts alone don't need them."""
+    up = edges.where("weight > 0")
+    one = up.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("edge_type").alias("t1"))
+    two = up.select(F.col("src").alias("b"), F.col("dst").alias("c"), F.col("edge_type").alias("t2"))
+    chains = one.join(two, "b").where("a <> c").select(F.concat_ws(" → ", "t1", "t2").alias("pattern"), "a", "b", "c")
+    return chains.join(F.broadcast(motifs(edges, least).select("pattern")), "pattern")  # pairs of types
+
+
 def mean_field(edges: DataFrame, rounds: int = 5, alpha: float = 0.3, beta: float = 1.0) -> DataFrame:
     """Edges with refined: synchronous smoothing towards the mean of edges of the same type at either end. A
     neighbour that shares both ends counts twice; without neighbours the mean is 0. Sums at each (node, type) take

@@ -31,3 +31,11 @@ def order_statistics(df: DataFrame, value: str, places: dict, *, group: list[str
     found = numbered(rows, ["v_"], group=group).join(F.broadcast(wanted), [*group, "seq"])  # a few rows for each group
     picked = found.groupBy(*group).agg(*[F.max(F.when(F.col("name_") == k, F.col("v_"))).alias(k) for k in places])
     return sizes.join(picked, group)
+
+
+def summary(df: DataFrame, value: str) -> DataFrame:
+    """One row: mean, median, least, most, n_negative and n_positive of a column."""
+    rows = df.select(F.lit(1).alias("all_"), F.col(value).cast("double").alias("x_"))
+    middle = order_statistics(rows, "x_", {"low": F.ceil(F.col("n") / 2), "high": F.floor(F.col("n") / 2) + 1}, group=["all_"])
+    ends = rows.groupBy("all_").agg(F.min("x_").alias("least"), F.max("x_").alias("most"), F.count_if(F.col("x_") < 0).alias("n_negative"), F.count_if(F.col("x_") > 0).alias("n_positive"))
+    return middle.join(ends, "all_").select(F.round("mean", 6).alias("mean"), F.round((F.col("low") + F.col("high")) / 2, 6).alias("median"), F.round("least", 6).alias("least"), F.round("most", 6).alias("most"), "n_negative", "n_positive")

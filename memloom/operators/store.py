@@ -79,6 +79,7 @@ class Store:
         new = rows.withColumn("id", drawer_id(F.col("text"), F.col("scope"), F.col("source"), F.lit(self.tenant)))
         first = new.groupBy("id").agg(F.min_by(F.struct("text", "source", "scope", "created"), F.col("created")).alias("x")).select("id", "x.*")
         first = first.join(self.table("drawers").select("id"), "id", "left_anti").withColumn("text_hash", F.sha2("text", 256))
+        first = cut(first, "new-drawers")
         self.append("drawers", first)
         return first
 
@@ -98,6 +99,7 @@ class Store:
         """The live rows of ``keys`` get a version with the time and the reason; they are returned."""
         gone = self.latest(name).where(F.col("deprecated").isNull()).join(keys.select(*KEYS[name]).distinct(), KEYS[name], "left_semi")
         gone = gone.withColumns({"deprecated": at, "reason": F.lit(reason), "version": F.coalesce("version", F.lit(0)) + 1})
+        gone = cut(gone, "deprecated")
         self.append(name, gone)
         return gone
 

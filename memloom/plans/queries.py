@@ -547,9 +547,7 @@ def _(spark, d):
 
 @query("L15_curvature_summary", f"WITH {_OLL} SELECT round(avg(kappa), 6) AS mean, round(median(kappa), 6) AS median, round(min(kappa), 6) AS least, round(max(kappa), 6) AS most, count_if(kappa < 0)::BIGINT AS n_negative, count_if(kappa > 0)::BIGINT AS n_positive FROM oll")
 def _(spark, d):
-    k = cut(graph.ollivier(edges(spark, d)).withColumn("all", F.lit(1)), "curvatures")
-    middle = ranks.order_statistics(k, "kappa", {"low": F.ceil(F.col("n") / 2), "high": F.floor(F.col("n") / 2) + 1}, group=["all"]).select("all", r6((F.col("low") + F.col("high")) / 2).alias("median"))
-    return k.groupBy("all").agg(r6(F.avg("kappa")).alias("mean"), r6(F.min("kappa")).alias("least"), r6(F.max("kappa")).alias("most"), F.count_if(F.col("kappa") < 0).alias("n_negative"), F.count_if(F.col("kappa") > 0).alias("n_positive")).join(middle, "all").drop("all")
+    return ranks.summary(cut(graph.ollivier(edges(spark, d)), "curvatures"), "kappa")
 
 
 def _pagerank_sql(rounds: int = 5) -> str:
