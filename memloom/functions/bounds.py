@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memloom.operators import ranks
+
 NOISE = 0.0016
 
 
@@ -57,3 +59,38 @@ def bmrs_log_ratio(w: Column, s2: Column, prior: float = 1.0) -> Column:
 def cosine_edge_variance(w: Column, anti: Column, noise: float = NOISE) -> Column:
     ratio = F.least(F.lit(1.0), F.abs(anti) / (F.abs(w) + 1e-6))
     return F.when(anti.isNull() | (F.abs(w) <= 1e-6), F.lit(noise)).otherwise(F.greatest(F.lit(1e-6), noise / F.greatest(F.lit(0.1), 0.5 + 0.5 * ratio)))
+
+
+def should_prune(w: Column, s2: Column, prior: float = 1.0) -> Column:
+    return bmrs_log_ratio(w, s2, prior) > 0
+
+
+def gamma_edge_variance(score: Column, anti: Column) -> Column:
+    """The older estimate from the two parts' ratio, between 0.05 and 2; the plain noise without the second part."""
+    ratio = (F.abs(anti) + 1e-6) / (F.abs(score) + 1e-6)
+    return F.when(anti.isNull(), F.lit(NOISE)).otherwise(F.greatest(F.lit(0.05), F.least(F.lit(2.0), 1 / (ratio + 0.1))))
+
+
+def bound_estimate(paths: Column, loss: Column, tandem: Column, n: Column, delta: float = 0.05) -> Column:
+    """The bound for so many walks, whose number's logarithm stands for the divergence; null without any."""
+    kl = F.log(F.greatest(F.lit(1), paths).cast("double"))
+    return F.when(paths > 0, chebyshev_cantelli(loss, tandem, kl, n, delta))
+
+
+def is_vacuous(bound: Column) -> Column:
+    return bound.isNull() | (bound >= 1)
+
+
+def risk_bounds(rows: DataFrame, risk: str, group: list[str], delta: float = 0.05) -> DataFrame:
+    """The group columns, n (risks that aren't null), risk (their mean), hoeffding, wilson and best, the lesser of the
+    two; all 1 where n is 0."""
+    own = rows.groupBy(*group).agg(F.count(risk).alias("n"), F.avg(F.col(risk).cast("double")).alias("risk"))
+    own = own.withColumns({"hoeffding": crc_hoeffding(F.col("risk"), F.col("n"), delta), "wilson": crc_wilson(F.col("risk"), F.col("n"), delta)})
+    return own.withColumn("risk", F.when(F.col("n") > 0, F.col("risk")).otherwise(1.0)).withColumn("best", F.least("hoeffding", "wilson"))
+
+
+def conformal_thresholds(rows: DataFrame, score: str, group: list[str], alpha: float = 0.05) -> DataFrame:
+    """The group columns and threshold: the ceil((n + 1) (1 - alpha))-th of the ascending scores, the last at most."""
+    n = F.col("n")
+    place = F.least(n, F.greatest(F.lit(1), F.ceil((n + 1) * F.lit(1 - alpha))))
+    return ranks.order_statistics(rows, score, {"threshold": place}, group=group).select(*group, "threshold")

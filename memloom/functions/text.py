@@ -184,11 +184,78 @@ def coverage(premise: Column, hypothesis: Column) -> Column:
     return F.when(F.size(h) > 0, F.size(F.array_intersect(tokens(premise), h)) / F.size(h))
 
 
+def lexical_entails(premise: Column, hypothesis: Column, share: float = 0.6) -> Column:
+    return F.coalesce(coverage(premise, hypothesis) >= share, F.lit(False))
+
+
+def char_grams(text: Column, least: int = 3, most: int = 5) -> Column:
+    """The n-grams of characters of each lower-case word with a space at either end, with duplicates; a word that is
+    no longer than n with its spaces is one n-gram, and has no longer ones."""
+    padded = F.transform(words(F.lower(text)), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+
+    def of(w: Column) -> Column:
+        sizes = F.filter(F.sequence(F.lit(least), F.lit(most)), lambda n: (n == least) | (n <= F.length(w)))
+        return F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - n + 1)), lambda k: F.substring(w, k, n))))
+
+    return F.flatten(F.transform(padded, of))
+
+
+def tfidf_cosine(one: Column, two: Column) -> Column:
+    """Cosine of the two texts' character n-grams, weighted as if the two were all documents: an n-gram of one text
+    alone counts 1 + ln 1.5 times. 0 where a text has none."""
+    a, b = char_grams(one), char_grams(two)
+    both = F.array_distinct(F.concat(a, b))
+    own = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda s: F.transform(both, lambda g: F.struct(F.size(F.filter(s.a, lambda x: x == g)).alias("x"), F.size(F.filter(s.b, lambda x: x == g)).alias("y"))))[0]
+    idf2 = lambda c: F.when((c.x > 0) & (c.y > 0), 1.0).otherwise((1 + F.log(F.lit(1.5))) * (1 + F.log(F.lit(1.5))))
+    sums = F.aggregate(own, F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("q"), F.lit(0.0).alias("r")), lambda s, c: F.struct((s.p + c.x * c.y * idf2(c)).alias("p"), (s.q + c.x * c.x * idf2(c)).alias("q"), (s.r + c.y * c.y * idf2(c)).alias("r")))
+    return F.transform(F.array(sums), lambda s: F.when((s.q > 0) & (s.r > 0), s.p / F.sqrt(s.q * s.r)).otherwise(F.lit(0.0)))[0]
+
+
+def tfidf_entails(premise: Column, hypothesis: Column, least: float = 0.4) -> Column:
+    return F.coalesce(tfidf_cosine(premise, hypothesis) >= least, F.lit(False))
+
+
 def intent(query: Column) -> Column:
     d, s = has_any(query, INTENT_DIRECTIONAL), has_any(query, INTENT_SYMMETRIC)
     return F.when(d & ~s, "directional").when(s & ~d, "symmetric").otherwise("hybrid")
 
 
+def shortened(text: Column, n: int) -> Column:
+    """The first ``n`` characters."""
+    return F.substring(text, 1, n)
+
+
+def fact_matches(answer: Column, gold: Column) -> Column:
+    """Whether the answer holds the gold text, whatever the case."""
+    return F.contains(F.lower(answer), F.lower(gold))
+
+
+def overlaps(one: Column, two: Column, share: float = 0.4) -> Column:
+    """Whether more than ``share`` of the first text's tokens are in the second."""
+    a = tokens(one)
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, tokens(two))), F.size(a)) > share, F.lit(False))
+
+
+def category(text: Column, lists: list[tuple[str, list[str]]]) -> Column:
+    """The name of the first list of which the text holds a member."""
+    out = F.when(F.lit(False), "unknown")
+    for name, cues in lists:
+        out = out.when(has_any(text, [c.lower() for c in cues]), name)
+    return out.otherwise("unknown")
+
+
+def spans_of(text: Column, answer: Column) -> Column:
+    """A model's spans (an array of texts), or the text's sentences where it gave none."""
+    return F.when(F.size(answer) > 0, answer).otherwise(sentences(text))
+
+
+def rubric_score(text: Column, answer: Column, buffer: Column) -> Column:
+    """The gate by a model's answer, a JSON object with a score between 0 and 1; made-up biographies are turned down
+    before (an empty buffer counts), and an answer that can't be read leaves it to :func:`quality_score`."""
+    said = F.get_json_object(answer, "$.score").try_cast("double")
+    return F.when(is_fabricated_bio(text, buffer), 0.05).when(said.between(0.0, 1.0), said).otherwise(quality_score(text, buffer))
+
+
 def role(sentence: Column) -> Column:
     out = F.when(F.lit(False), "fact")
     for name, cues in ROLE_CUES:

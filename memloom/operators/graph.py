@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memloom.functions import bounds, vec
@@ -90,7 +90,11 @@ def ollivier(edges: DataFrame, alpha: float = 0.5) -> DataFrame:
     share = F.when(F.col("t") > 0, F.col("a") / F.col("t")).otherwise(1 / F.col("n"))
     mass = w.join(total, "u").select("u", F.col("v").alias("k"), ((1 - alpha) * share).alias("m")).union(total.select("u", F.col("u").alias("k"), F.lit(alpha)))
     pairs = w.where("u < v")
-    shared = pairs.select("u", "v").join(mass, "u").join(mass.select(F.col("u").alias("v"), "k", F.col("m").alias("m2")), ["v", "k"]).groupBy("u", "v").agg(F.sum(F.least("m", "m2")).alias("s"))
+    # the masses of the end of lower degree are looked up at the other one, so a hub isn't expanded for each neighbour
+    size = total.select("u", "n")
+    sized = pairs.join(size, "u").join(size.select(F.col("u").alias("v"), F.col("n").alias("n2")), "v")
+    ends = sized.select("u", "v", F.when(F.col("n") <= F.col("n2"), F.col("u")).otherwise(F.col("v")).alias("x"), F.when(F.col("n") <= F.col("n2"), F.col("v")).otherwise(F.col("u")).alias("y"))
+    shared = ends.join(mass.withColumnRenamed("u", "x"), "x").join(mass.select(F.col("u").alias("y"), "k", F.col("m").alias("m2")), ["y", "k"]).groupBy("u", "v").agg(F.sum(F.least("m", "m2")).alias("s"))
     length = F.greatest(1 / F.greatest("a", F.lit(0.01)), F.lit(1.0))
     return pairs.join(shared, ["u", "v"], "left").select("u", "v", (1 - (1 - F.coalesce("s", F.lit(0.0))) / length).alias("kappa"))
 
@@ -114,17 +118,35 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, damping: floa
     return rank
 
 
+def pagerank_of(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-6) -> DataFrame:
+    """(qid, id, score) of the same from each query's seeds (qid, id) at once. Only nodes that a seed reaches have a
+    row. Rounds end when no query's scores change by more than ``tolerance`` in all."""
+    last = [c for c in ("created", "edge_type") if c in edges.columns]
+    w = edges.groupBy("src", "dst").agg(F.max_by("weight", F.struct(*last, "weight")).alias("w"))
+    out = cut(w.join(w.groupBy("src").agg(F.sum(F.abs("w")).alias("t")), "src").where("t > 0").select("src", "dst", (F.col("w") / F.col("t")).alias("p")), "pagerank-steps")
+    chosen = seeds.select("qid", "id").distinct().join(nodes.select("id"), "id", "left_semi")
+    start = cut(chosen.join(chosen.groupBy("qid").agg(F.count("*").alias("n")), "qid").select("qid", "id", (1.0 / F.col("n")).alias("q")), "pagerank-start")
+    rank = start.withColumnRenamed("q", "score")
+    for _ in range(rounds):
+        flow = out.join(rank, out.src == rank.id).select("qid", F.col("dst").alias("id"), (damping * F.col("p") * F.col("score")).alias("x"))
+        both = flow.union(start.select("qid", "id", (1 - damping) * F.col("q"))).groupBy("qid", "id").agg(F.sum("x").alias("score"))
+        new = cut(both.join(rank.withColumnRenamed("score", "was"), ["qid", "id"], "left"), "pagerank")
+        rank = new.select("qid", "id", "score")
+        if new.groupBy("qid").agg(F.sum(F.abs(F.col("score") - F.coalesce("was", F.lit(0.0)))).alias("d")).where(F.col("d") >= tolerance).isEmpty():
+            break
+    return rank
+
+
 def hops(edges: DataFrame, sources: DataFrame, most: int = 6) -> DataFrame:
     """(source, id, hops) of all nodes within ``most`` steps of each source, itself left out."""
     adj = cut(adjacency(edges), "adjacency")
-    seen = cut(sources.select(F.col("id").alias("source"), F.col("id")).distinct().withColumn("hops", F.lit(0)), "hops")
-    edge = seen
+    seen = edge = cut(sources.select(F.col("id").alias("source"), F.col("id")).distinct().withColumn("hops", F.lit(0)), "hops")
     for step in range(1, most + 1):
         edge = edge.join(adj, edge.id == adj.u).select("source", F.col("v").alias("id")).distinct().join(seen, ["source", "id"], "left_anti").withColumn("hops", F.lit(step))
-        edge = cut(edge, "hops")
+        edge = cut(edge, "hops")  # only what is new is written
         if edge.isEmpty():
             break
-        seen = cut(seen.union(edge), "hops")
+        seen = seen.union(edge)
     return seen.where("hops > 0")
 
 
@@ -180,6 +202,24 @@ def mean_field(edges: DataFrame, rounds: int = 5, alpha: float = 0.3, beta: floa
     return now
 
 
+def like_edges(edges: DataFrame) -> DataFrame:
+    """(src, dst, edge_type, n): how many other edges of its type share an end with each edge that has one."""
+    ends = edges.select(F.col("src").alias("x"), "edge_type").union(edges.where("src <> dst").select("dst", "edge_type"))
+    degree = ends.groupBy("x", "edge_type").agg(F.count("*").alias("d"))
+    # edges with both ends in common were counted at either end
+    pair = [F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")]
+    twins = edges.where("src <> dst").groupBy(*pair, "edge_type").agg(F.count("*").alias("twins"))
+    rows = edges.join(degree.select(F.col("x").alias("src"), "edge_type", F.col("d").alias("a")), ["src", "edge_type"]).join(degree.select(F.col("x").alias("dst"), "edge_type", F.col("d").alias("b")), ["dst", "edge_type"])
+    rows = rows.withColumns({"lo": F.least("src", "dst"), "hi": F.greatest("src", "dst")}).join(twins, ["lo", "hi", "edge_type"], "left")
+    n = F.when(F.col("src") == F.col("dst"), F.col("a") - 1).otherwise(F.col("a") + F.col("b") - 1 - F.coalesce("twins", F.lit(1)))
+    return rows.select("src", "dst", "edge_type", n.cast("bigint").alias("n")).where("n > 0")
+
+
+def unprotected(edges: DataFrame, protected: DataFrame) -> DataFrame:
+    """Edges that aren't among the protected ones."""
+    return edges.join(protected.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+
+
 def prune(edges: DataFrame, protect: float = 0.7) -> DataFrame:
     """Edges with kappa, s2, log_ratio and pruned: the evidence speaks for a zero weight, and no bottleneck
     (kappa below -``protect``) is touched. A stored variance (column s_squared) counts where it lies between 0 and
@@ -192,15 +232,25 @@ def prune(edges: DataFrame, protect: float = 0.7) -> DataFrame:
     return scored.withColumn("pruned", (F.col("kappa") >= -protect) & (F.col("log_ratio") > 0))
 
 
+def decompose(pairs: DataFrame) -> DataFrame:
+    """The pairs with sym, anti (the two parts of their score) and strength of the direction."""
+    fi, bi, fj, bj = (F.col(c) for c in ("fi", "bi", "fj", "bj"))
+    scored = pairs.withColumns({"anti": vec.gamma_anti(fi, bi, fj, bj), "sym": vec.gamma_sym(fi, bi, fj, bj)})
+    return scored.withColumn("strength", vec.direction_strength(F.col("anti"), vec.causal(fi, bi), vec.causal(fj, bj)))
+
+
+def direction(strength: Column, anti: Column, directional: float = 0.2) -> Column:
+    """Which ways an edge goes: both where the direction is weak, else the one that the antisymmetric part points to."""
+    return F.when(strength < directional, "both").when(anti > 0, "there").otherwise("back")
+
+
 def induce(pairs: DataFrame, directional: float = 0.2) -> DataFrame:
     """(src, dst, edge_type, weight, gamma_score, gamma_anti) of pairs (i, j, cos, fi, bi, fj, bj and texts ti, tj):
     both directions where the antisymmetric part is weak, else the one that it points to. Null texts are empty."""
-    fi, bi, fj, bj = (F.col(c) for c in ("fi", "bi", "fj", "bj"))
-    scored = pairs.withColumns({"anti": vec.gamma_anti(fi, bi, fj, bj), "sym": vec.gamma_sym(fi, bi, fj, bj)})
-    scored = scored.withColumn("strength", vec.direction_strength(F.col("anti"), vec.causal(fi, bi), vec.causal(fj, bj)))
+    scored = decompose(pairs).withColumn("way", direction(F.col("strength"), F.col("anti"), directional))
     there = F.struct(F.col("i").alias("src"), F.col("j").alias("dst"), (F.col("sym") + F.col("anti")).alias("gamma_score"), F.col("anti").alias("gamma_anti"), F.col("ti").alias("said"), F.col("tj").alias("answer"))
     back = F.struct(F.col("j").alias("src"), F.col("i").alias("dst"), (F.col("sym") - F.col("anti")).alias("gamma_score"), (-F.col("anti")).alias("gamma_anti"), F.col("tj").alias("said"), F.col("ti").alias("answer"))
-    chosen = F.when(F.col("strength") < directional, F.array(there, back)).when(F.col("anti") > 0, F.array(there)).otherwise(F.array(back))
+    chosen = F.when(F.col("way") == "both", F.array(there, back)).when(F.col("way") == "there", F.array(there)).otherwise(F.array(back))
     rows = scored.select("cos", F.explode(chosen).alias("e")).select("e.*", "cos")
     kind = edge_type(F.col("said"), F.col("answer"), F.col("gamma_score"), F.col("gamma_anti"))
     return rows.withColumn("edge_type", kind).withColumn("weight", vec.signed_weight(F.col("edge_type"), F.col("cos"))).select("src", "dst", "edge_type", "weight", "gamma_score", "gamma_anti")
@@ -214,13 +264,12 @@ def potentials(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     arcs = cut(arcs.groupBy("u", "v").agg(F.min("gain").alias("gain")), "arcs")
     own = cut(components(nodes, edges), "potentials")
     known = new = cut(own.where("id = component").withColumn("x", F.lit(1.0)), "potentials")
-    for _ in range(rounds):
+    while True:
         step = new.join(arcs, F.col("id") == F.col("u")).groupBy(F.col("v").alias("id"), "component").agg(F.min(F.col("x") * F.col("gain")).alias("x"))
-        new = cut(step.join(known.select("id"), "id", "left_anti"), "potentials")
+        new = cut(step.join(known.select("id"), "id", "left_anti"), "potentials")  # only what is new is written
         if new.isEmpty():
-            break
-        known = cut(known.unionByName(new), "potentials")
-    return known
+            return known
+        known = known.unionByName(new)
 
 
 def harmonic_dimension(nodes: DataFrame, edges: DataFrame, tolerance: float = 1e-9) -> DataFrame:

@@ -3,10 +3,14 @@ src, dst, edge_type. Only edges with both ends in one region count for it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions import vec
+from memloom.operators import graph
+from memloom.sources.scratch import cut
 
 # Thresholds and weights of the score.
 COLLAPSED, ALIKE = 0.05, 0.85
@@ -37,25 +41,34 @@ def path_scores(nodes: DataFrame, collapsed: float = COLLAPSED) -> DataFrame:
     return out.select("region", "divergence", F.coalesce(collapse, F.lit(0.0)).alias("collapse"))
 
 
+def ends(nodes: DataFrame) -> DataFrame:
+    """region, a and b: the first and the last node (id, s, quality) of its path."""
+    end = F.struct("id", "s", "quality")
+    return nodes.groupBy("region").agg(F.min(end).alias("a"), F.max(end).alias("b"))
+
+
+def agreeing(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """src, dst, region, cos and the source's role of the ``agrees`` edges inside regions."""
+    own = nodes.select("id", "role", "s")
+    rows = inner_edges(nodes, edges.where("edge_type = 'agrees'")).select("src", "dst", "region")
+    rows = rows.join(own.withColumnsRenamed({"id": "src", "s": "x"}), "src").join(own.select(F.col("id").alias("dst"), F.col("s").alias("y")), "dst")
+    return rows.select("src", "dst", "region", vec.cosine(F.col("x"), F.col("y")).alias("cos"), "role")
+
+
 def sycophancy(nodes: DataFrame, edges: DataFrame, alike: float = ALIKE) -> DataFrame:
     """region and the share of its ``agrees`` edges from a plain fact to a node that is nearly the same. Regions
     without such edges have 0."""
-    ends = nodes.select("id", "role", "s")
-    agrees = inner_edges(nodes, edges.where("edge_type = 'agrees'")).select("src", "dst", "region")
-    agrees = agrees.join(ends.withColumnsRenamed({"id": "src", "s": "x"}), "src").join(ends.select(F.col("id").alias("dst"), F.col("s").alias("y")), "dst")
-    hit = (vec.cosine(F.col("x"), F.col("y")) > alike) & F.coalesce("role", F.lit("")).isin("", "fact")
-    share = agrees.groupBy("region").agg(F.avg(hit.cast("double")).alias("share"))
+    hit = (F.col("cos") > alike) & F.coalesce("role", F.lit("")).isin("", "fact")
+    share = agreeing(nodes, edges).groupBy("region").agg(F.avg(hit.cast("double")).alias("share"))
     return nodes.select("region").distinct().join(share, "region", "left").select("region", F.coalesce("share", F.lit(0.0)).alias("sycophancy"))
 
 
 def correction(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """region and how far its path turned, times the gain in quality from the first to the last node; half as much
     again where a node pivots or corrects. One node has 0."""
-    end = F.struct("id", "s", "quality")
-    ends = nodes.groupBy("region").agg(F.min(end).alias("a"), F.max(end).alias("b"))
     turned = inner_edges(nodes, edges.where("edge_type IN ('pivots', 'corrects')")).groupBy("region").agg(F.lit(1.5).alias("boost"))
     depth = F.coalesce("boost", F.lit(1.0)) * (1 - vec.cosine(F.col("a.s"), F.col("b.s"))) * (0.5 + F.col("b.quality") - F.col("a.quality"))
-    return ends.join(turned, "region", "left").select("region", F.when(F.col("a.id") == F.col("b.id"), 0.0).otherwise(depth).alias("correction"))
+    return ends(nodes).join(turned, "region", "left").select("region", F.when(F.col("a.id") == F.col("b.id"), 0.0).otherwise(depth).alias("correction"))
 
 
 def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -93,3 +106,60 @@ def linearize(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     lines = lines.unionByName(out.select("region", F.col("src").alias("id"), "dst", arrow.alias("line"), F.col("edge_type").alias("kind")))
     rows = lines.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("id", "dst", "kind", "line"))).alias("l"))
     return rows.select("region", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+
+
+# Consolidation.
+def build(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The nodes with region: the least node of their connected component."""
+    return nodes.join(graph.components(nodes, edges).withColumnRenamed("component", "region"), "id")
+
+
+def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """region, v and e (its nodes and inner edges), newest (the last edge's time), density (e / v) and spread (the
+    deviation of the edges' weights)."""
+    own = inner_edges(nodes, edges).groupBy("region").agg(F.count("*").alias("e"), F.max("created").alias("newest"), F.stddev_pop("weight").alias("spread"))
+    rows = nodes.groupBy("region").agg(F.count("*").alias("v")).join(own, "region", "left").fillna(0, ["e", "spread"])
+    return rows.select("region", "v", "e", "newest", (F.col("e") / F.greatest(F.lit(1), F.col("v"))).alias("density"), "spread")
+
+
+def ranked(nodes: DataFrame, edges: DataFrame, as_of: Column) -> DataFrame:
+    """region and priority: 0.4 for what is new (halved after an hour), 0.3 for density and 0.3 for spread; 0 without
+    edges."""
+    age = (F.unix_timestamp(as_of) - F.unix_timestamp("newest")) / 3600
+    value = 0.4 / (1 + age) + 0.3 * F.col("density") + 0.3 * F.col("spread")
+    return stats(nodes, edges).select("region", F.when(F.col("e") > 0, value).otherwise(0.0).alias("priority"))
+
+
+class Consolidated(NamedTuple):
+    regions: DataFrame  # region, n_nodes, n_edges, n_pruned, score
+    pruned: DataFrame  # the edges that go
+    refined: DataFrame  # the edges that stay, with refined weights
+    motifs: DataFrame  # region, pattern, cnt
+    audit: DataFrame  # operation, target_type, target_id, payload
+
+
+def consolidate(nodes: DataFrame, edges: DataFrame, *, budget: int = 10, as_of: Column, induced: DataFrame | None = None) -> Consolidated:
+    """One run over the ``budget`` regions of highest priority, all of them at once: edges whose evidence is weak go,
+    the others are smoothed and searched for motifs, and the regions are scored. ``induced``: edges that are added
+    first, for nodes that have none. nodes: id, s, role, quality; edges: with created, gamma_anti and s_squared."""
+    if induced is not None:
+        edges = cut(edges.unionByName(induced, allowMissingColumns=True), "with-induced")
+    whole = cut(build(nodes, edges), "regions")
+    top = cut(ranked(whole, edges, as_of).orderBy(F.desc("priority"), "region").limit(budget).select("region"), "top-regions")
+    own = cut(whole.join(F.broadcast(top), "region"), "own-nodes")  # at most ``budget`` regions
+    inner = cut(inner_edges(own, edges), "own-edges")
+    judged = cut(graph.prune(inner), "judged")
+    pruned, kept = judged.where("pruned"), judged.where("NOT pruned")
+    refined = graph.mean_field(kept.select("region", "src", "dst", "edge_type", "weight"))
+    chains = graph.motif_instances(kept.select("src", "dst", "edge_type", "weight"), 1).join(own.select(F.col("id").alias("a"), "region"), "a")
+    found = cut(chains.groupBy("region", "pattern").agg(F.count("*").alias("cnt")).where("cnt >= 2"), "region-motifs")
+    scores = priority(own, kept)
+    count = lambda df, c: df.groupBy("region").agg(F.count("*").alias(c))
+    rows = count(own, "n_nodes").join(count(inner, "n_edges"), "region", "left").join(count(pruned, "n_pruned"), "region", "left").join(scores.select("region", F.col("priority").alias("score")), "region", "left").fillna(0, ["n_edges", "n_pruned"])
+    rows = cut(rows, "consolidated")
+    entry = lambda df, op, kind, target, payload: df.select(F.lit(op).alias("operation"), F.lit(kind).alias("target_type"), target.cast("string").alias("target_id"), payload.alias("payload"))
+    audit = entry(pruned, "PRUNE", "edge", F.concat_ws(">", "src", "dst"), F.to_json(F.struct("weight", "log_ratio")))
+    audit = audit.union(entry(found, "MOTIF", "region", F.col("region"), F.to_json(F.struct("pattern", "cnt"))))
+    audit = audit.union(entry(rows, "PMED_SCORE", "region", F.col("region"), F.to_json(F.struct("score"))))
+    audit = audit.union(entry(rows.agg(F.count("*").alias("regions"), F.sum("n_pruned").alias("pruned")), "CONSOLIDATE", "global", F.lit("all"), F.to_json(F.struct("regions", "pruned"))))
+    return Consolidated(rows, pruned, refined, found, audit)

@@ -9,19 +9,24 @@ from memloom.functions import text
 from memloom.sources.scratch import cut
 
 
+def walkable(edges: DataFrame, threshold: float = -0.1) -> DataFrame:
+    """Edges that a walk may take."""
+    return edges.where(F.col("weight") >= threshold)
+
+
 def walk(seeds: DataFrame, edges: DataFrame, depth: int = 4, threshold: float = -0.1, beam: int = 8) -> DataFrame:
-    """(qid, seed, nodes, cum) of beam walks from each (qid, seed). A step extends every path by edges of weight
+    """(qid, seed, nodes, cum, place) of beam walks from each (qid, seed); place: from 1, the best first. A step extends every path by edges of weight
     ``threshold`` or more to nodes not on it; paths that end stay, extended ones go; the ``beam`` best by summed
     weight go on, ties by their nodes."""
-    steps = cut(edges.where(F.col("weight") >= threshold).select("src", "dst", "weight"), "walk-edges")
-    paths = seeds.select("qid", "seed", F.array("seed").alias("nodes"), F.lit(0.0).alias("cum"))
+    steps = cut(walkable(edges, threshold).select("src", "dst", "weight"), "walk-edges")
+    paths = seeds.select("qid", "seed", F.array("seed").alias("nodes"), F.lit(0.0).alias("cum"), F.lit(1).alias("place"))
     best = Window.partitionBy("qid", "seed").orderBy(F.desc("cum"), "nodes")
     for _ in range(depth):
         tail = paths.withColumn("src", F.element_at("nodes", -1)).withColumn("path", F.xxhash64("qid", "seed", "nodes"))
         more = tail.join(steps, "src").where(~F.array_contains("nodes", F.col("dst")))
         ended = tail.join(more.select("path").distinct(), "path", "left_anti").select("qid", "seed", "nodes", "cum")
         longer = more.select("qid", "seed", F.concat("nodes", F.array("dst")).alias("nodes"), (F.col("cum") + F.col("weight")).alias("cum"))
-        paths = cut(longer.union(ended).withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).drop("r"), "walk")
+        paths = cut(longer.union(ended).withColumn("place", F.row_number().over(best)).where(F.col("place") <= beam), "walk")
     return paths
 
 
@@ -47,41 +52,6 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
 
 
-def extract_tree(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, budget: float = 10.0) -> DataFrame:
-    """(qid, id) chosen greedily for each query from nodes (qid, id), edges (qid, src, dst, weight) and seeds
-    (qid, id): the frontier node of greatest prize less cost is taken while that is positive; the first that would
-    break the budget ends it. Without seeds the greatest prize starts; without edges all nodes are chosen. One
-    query's subgraph (paths x beam x depth nodes) is one group."""
-    import pandas as pd
-
-    rows = nodes.select("qid", F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), F.lit(0.0).alias("w"), F.lit("n").alias("kind")).union(
-        edges.select("qid", "src", "dst", "weight", F.lit("e"))).union(seeds.select("qid", "id", F.lit(None).cast("bigint"), F.lit(0.0), F.lit("s")))
-
-    def greedy(key, part):
-        ids = sorted({int(x) for x in part[part.kind == "n"].a})
-        links = sorted({(int(a), int(b), float(w)) for a, b, w in part[part.kind == "e"][["a", "b", "w"]].itertuples(index=False)})
-        if not links:
-            return pd.DataFrame({"qid": key[0], "id": ids})
-        prize = dict.fromkeys(ids, 0.0)
-        for a, b, w in links:
-            for x in (a, b):
-                prize[x] = prize.get(x, 0.0) + max(0.0, w)
-        taken = {int(x) for x in part[part.kind == "s"].a} & set(ids) or {min(ids, key=lambda x: (-prize[x], x))}
-        spent = 0.0
-        while True:
-            reach = [(prize[y] - max(0.0, -w), -k, y, max(0.0, -w)) for k, (a, b, w) in enumerate(links) for x, y in ((a, b), (b, a)) if x in taken and y not in taken]
-            if not reach:
-                break
-            net, _, y, cost = max(reach)
-            if net <= 0 or spent + cost > budget:
-                break
-            taken.add(y)
-            spent += cost
-        return pd.DataFrame({"qid": key[0], "id": sorted(taken)})
-
-    return rows.groupBy("qid").applyInPandas(greedy, "qid bigint, id bigint")
-
-
 def route(query, density, clustering, mean_hops, seeds):
     """The mode for a query text and the features of its neighbourhood."""
     d, f = text.has_any(query, text.ROUTE_DIRECTIONAL), text.has_any(query, text.ROUTE_FACTUAL)
@@ -89,3 +59,17 @@ def route(query, density, clustering, mean_hops, seeds):
         F.when(seeds == 0, "symmetric").when(density < 0.5, "symmetric").when(f & ~d, "symmetric").when((clustering > 0.4) & ~d, "symmetric")
         .when(d & (mean_hops > 2), "walk_deep").when(d, "walk_short").when((mean_hops > 1.5) & (clustering < 0.3), "walk_short").otherwise("hybrid")
     )
+
+
+def metrics(found: DataFrame, gold: DataFrame, kinds: DataFrame) -> DataFrame:
+    """For each kind of query: n, hit (mean share of a query's gold rows that were found) and mrr (mean of one over the
+    rank of its first one, 0 without). found: (qid, id, rank), gold: (qid, id), kinds: (qid and other columns).
+    Queries without gold rows aren't counted."""
+    own = gold.distinct().join(found, ["qid", "id"], "left").groupBy("qid").agg((F.count("rank") / F.count("*")).alias("hit"), F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("mrr"))
+    by = [c for c in kinds.columns if c != "qid"]
+    return own.join(kinds, "qid").groupBy(*by).agg(F.count("*").alias("n"), F.avg("hit").alias("hit"), F.avg("mrr").alias("mrr"))
+
+
+def junk_rate(rows: DataFrame, kind: str = "kind", genuine: str = "genuine") -> DataFrame:
+    """One row, rate: the share of rows that aren't genuine; 0 of none."""
+    return rows.agg(F.coalesce(F.avg((F.col(kind) != genuine).cast("double")), F.lit(0.0)).alias("rate"))

@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from memloom.sources.scratch import cut
 
-#: Queries of one block: 4,096 of 1,024 dimensions are 32 MiB. More queries take more scans, not more memory.
-BLOCK = 4_096
+#: Queries of one block (2,048 of 1,024 dimensions are 16 MiB) and rows of one step of a task: 32 MiB of scores.
+#: More queries take more scans, not more memory: each block's result is written and its broadcast dropped.
+BLOCK = STEP = 2_048
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -21,53 +23,78 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int, *, other_than_self: bool = False, earlier: bool = False, scope: str | None = None) -> DataFrame:
-    """(qid, id, score, rank) of the ``k`` rows of highest cosine for each query. queries: (qid, v), rows: (id, v),
-    both with a column ``scope`` to match if one is named; ``earlier`` keeps only rows
-    of lesser id than the query's. Rows and queries without a direction are left out;
-    ties go to the lesser id.
+def _unit(v: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.where(size < 1e-12, np.nan, v / np.where(size < 1e-12, 1, size))
+
+
+def _best(query: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` greatest scores of each query, ties by the lesser id."""
+    order = np.lexsort((ids, -score, query))
+    first = np.concatenate([[True], query[order][1:] != query[order][:-1]]) if len(order) else np.zeros(0, bool)
+    begins = np.flatnonzero(first)
+    place = np.arange(len(order)) - np.repeat(begins, np.diff(np.append(begins, len(order))))
+    return order[place < k]
+
+
+def top_k(queries: DataFrame, rows: DataFrame, k: int, *, other_than_self: bool = False, earlier: bool = False, scope: str | None = None, apart: str | None = None, metric: str = "cosine") -> DataFrame:
+    """(qid, id, score, rank) of the ``k`` rows nearest to each query: by cosine, or by squared distance (``l2``; the
+    score is its negative). queries: (qid, v), rows: (id, v), ids of any number type or strings. Both have a column
+    ``scope`` to match, or ``apart`` to differ in, if one is named; ``earlier`` keeps only rows of lesser id than the
+    query's. Null vectors, and for the cosine those without a direction, are left out; ties go to the lesser id.
 
     Each block of queries is broadcast; every task multiplies its rows with it and keeps k of them for each query, so
     a shuffle sees at most k rows for each query and task."""
     sc = rows.sparkSession.sparkContext
     kinds = queries.schema["qid"].dataType, rows.schema["id"].dataType
     schema = T.StructType([T.StructField("qid", kinds[0]), T.StructField("id", kinds[1]), T.StructField("score", T.DoubleType())])
-    numbered = cut(queries.where(F.col("v").isNotNull()).select("qid", "v", *([scope] if scope else [])), "queries")
+    arrow = [to_arrow_type(t) for t in kinds]
+    label = scope or apart
+    more = [label] if label else []
+    numbered = cut(queries.where(F.col("v").isNotNull()).select("qid", "v", *more), "queries")
     count = max(1, -(-numbered.count() // BLOCK))
     out = None
     for part in range(count):
-        block = [(r.qid, r.v, r[scope] if scope else None) for r in (numbered if count == 1 else numbered.where(F.pmod(F.xxhash64("qid"), F.lit(count)) == part)).toLocalIterator()]
+        block = (numbered if count == 1 else numbered.where(F.pmod(F.xxhash64("qid"), F.lit(count)) == part)).toLocalIterator()
+        block = [(r.qid, r.v, r[label] if label else None) for r in block]
         held = np.array([b[1] for b in block], np.float64).reshape(len(block), -1)
-        size = np.linalg.norm(held, axis=1, keepdims=True)
-        shared = sc.broadcast(([b[0] for b in block], np.where(size < 1e-12, np.nan, held / np.where(size < 1e-12, 1, size)), [b[2] for b in block]))
+        shared = sc.broadcast((np.array([b[0] for b in block]), _unit(held) if metric == "cosine" else held, np.array([str(b[2]) for b in block])))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qids, q, scopes = shared.value
-            best: list[list] = [[] for _ in qids]
-            for batch in batches:
-                ids, v = batch.column("id").to_pylist(), _matrix(batch.column("v"))
+            qids, q, labels = shared.value
+            best = np.zeros(0, np.int64), np.zeros(0), None
+            for batch in (b.slice(at, STEP) for b in batches for at in range(0, len(b), STEP)):
+                ids = np.array(batch.column("id").to_pylist())
                 if not len(ids) or not len(qids):
                     continue
-                n = np.linalg.norm(v, axis=1, keepdims=True)
-                score = q @ np.where(n < 1e-12, np.nan, v / np.where(n < 1e-12, 1, n)).T
-                order = np.array(ids, object) if earlier else None
-                own = np.array(batch.column(scope).to_pylist(), object) if scope else None
-                for j, qid in enumerate(qids):
-                    take = ~np.isnan(score[j])
-                    if own is not None:
-                        take &= own == scopes[j]
-                    if order is not None:
-                        take &= (order < qid).astype(bool)
-                    at = np.flatnonzero(take)
-                    if len(at) > 2 * k + 1:
-                        edge = np.partition(score[j, at], len(at) - k - 1)[len(at) - k - 1]
-                        at = at[score[j, at] >= edge]
-                    more = [(-score[j, i], ids[i]) for i in at.tolist() if not (other_than_self and ids[i] == qid)]
-                    best[j] = sorted(best[j] + more)[:k]
-            found = [(qid, i, -s) for qid, b in zip(qids, best) for s, i in b]
-            yield pa.RecordBatch.from_pylist([dict(zip(("qid", "id", "score"), x)) for x in found], pa.schema([("qid", pa.int64() if isinstance(kinds[0], T.LongType) else pa.string()), ("id", pa.int64() if isinstance(kinds[1], T.LongType) else pa.string()), ("score", pa.float64())]))
-
-        one = rows.where(F.col("v").isNotNull()).select("id", "v", *([scope] if scope else [])).mapInArrow(scan, schema)
+                v = _matrix(batch.column("v"))
+                if metric == "cosine":
+                    score = q @ _unit(v).T
+                else:
+                    score = -np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * (q @ v.T), 0)
+                if label:
+                    same = labels[:, None] == np.array([str(x) for x in batch.column(label).to_pylist()])[None, :]
+                    score[~same if scope else same] = np.nan
+                if earlier:
+                    score[ids[None, :] >= qids[:, None]] = np.nan
+                if other_than_self:
+                    score[ids[None, :] == qids[:, None]] = np.nan
+                score = np.where(np.isnan(score), -np.inf, score)
+                if score.shape[1] > k:
+                    edge = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+                    at_q, at_r = np.nonzero((score >= edge[:, None]) & (score > -np.inf))
+                else:
+                    at_q, at_r = np.nonzero(score > -np.inf)
+                whole = np.concatenate([best[0], at_q]), np.concatenate([best[1], score[at_q, at_r]]), ids[at_r] if best[2] is None else np.concatenate([best[2], ids[at_r]])
+                kept = _best(*whole, k)
+                best = tuple(x[kept] for x in whole)
+            if best[2] is not None and len(best[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(qids[best[0]].tolist(), arrow[0]), pa.array(best[2].tolist(), arrow[1]), pa.array(best[1])], ["qid", "id", "score"])
+
+        one = rows.where(F.col("v").isNotNull()).select("id", "v", *more).mapInArrow(scan, schema)
+        if count > 1:
+            one = cut(one, "nearest")
+            shared.destroy()
         out = one if out is None else out.unionByName(one)
     place = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)

@@ -37,15 +37,20 @@ def knn(spark: SparkSession, sf_dir: str, k: int = NEIGHBOURS) -> DataFrame:
     return near.select(F.col("qid").alias("i"), F.col("id").alias("j"), F.col("score").alias("cos"), "rank")
 
 
+def neighbour_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each unordered pair of near nodes once, with its cosine and both nodes' vectors and texts."""
+    pairs = knn(spark, sf_dir).where("cos >= 0").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "cos").groupBy("i", "j").agg(F.max("cos").alias("cos"))
+    n = nodes(spark, sf_dir)
+    own = lambda x: n.select(F.col("id").alias(x), *(F.col(c).alias(c[0] + x) for c in ("f", "b", "text")))
+    return pairs.join(own("i"), "i").join(own("j"), "j")
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges induced between each node and its nearest others, once for each unordered pair. Cut once for each
     session and input."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _edges:
-        pairs = knn(spark, sf_dir).where("cos >= 0").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "cos").groupBy("i", "j").agg(F.max("cos").alias("cos"))
-        n = nodes(spark, sf_dir)
-        both = pairs.join(n.select(F.col("id").alias("i"), F.col("f").alias("fi"), F.col("b").alias("bi"), F.col("text").alias("ti")), "i").join(n.select(F.col("id").alias("j"), F.col("f").alias("fj"), F.col("b").alias("bj"), F.col("text").alias("tj")), "j")
-        _edges[key] = cut(graph.induce(both), "edges")
+        _edges[key] = cut(graph.induce(neighbour_pairs(spark, sf_dir)), "edges")
     return _edges[key]
 
 

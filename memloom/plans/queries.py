@@ -429,20 +429,6 @@ def _(spark, d):
     return _beam(spark, d, "id % 100 = 0")
 
 
-def _tree(spark, d, wanted):
-    """The tree extracted around each wanted node."""
-    seeds = nodes(spark, d).where(wanted).select(F.col("id").alias("qid"), F.col("id").alias("seed"))
-    paths = retrieve.walk(seeds, edges(spark, d), depth=3)
-    on = paths.select("qid", F.explode("nodes").alias("id")).distinct()
-    links = edges(spark, d).join(on.select("qid", F.col("id").alias("src")), "src").join(on.select("qid", F.col("id").alias("dst")), ["qid", "dst"]).select("qid", "src", "dst", "weight")
-    return retrieve.extract_tree(on, links, seeds.select("qid", F.col("seed").alias("id")))
-
-
-@query("K05_pcst_extract")
-def _(spark, d):
-    return _tree(spark, d, "id % 100 = 0")
-
-
 # F: aggregates.
 @query("F01_stats", f"WITH {_EDGES} SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM events) AS n_audit")
 def _(spark, d):
