@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import operator
 
 from pyspark.sql import Column
@@ -203,12 +204,25 @@ def char_grams(text: Column, least: int = 3, most: int = 5) -> Column:
 def tfidf_cosine(one: Column, two: Column) -> Column:
     """Cosine of the two texts' character n-grams, weighted as if the two were all documents: an n-gram of one text
     alone counts 1 + ln 1.5 times. 0 where a text has none."""
-    a, b = char_grams(one), char_grams(two)
-    both = F.array_distinct(F.concat(a, b))
-    own = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda s: F.transform(both, lambda g: F.struct(F.size(F.filter(s.a, lambda x: x == g)).alias("x"), F.size(F.filter(s.b, lambda x: x == g)).alias("y"))))[0]
-    idf2 = lambda c: F.when((c.x > 0) & (c.y > 0), 1.0).otherwise((1 + F.log(F.lit(1.5))) * (1 + F.log(F.lit(1.5))))
-    sums = F.aggregate(own, F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("q"), F.lit(0.0).alias("r")), lambda s, c: F.struct((s.p + c.x * c.y * idf2(c)).alias("p"), (s.q + c.x * c.x * idf2(c)).alias("q"), (s.r + c.y * c.y * idf2(c)).alias("r")))
-    return F.transform(F.array(sums), lambda s: F.when((s.q > 0) & (s.r > 0), s.p / F.sqrt(s.q * s.r)).otherwise(F.lit(0.0)))[0]
+    side = lambda text, k: F.transform(char_grams(text), lambda g: F.struct(g.alias("g"), F.lit(k).alias("k")))
+    ordered = F.array_sort(F.concat(side(one, 0), side(two, 1)))
+    rare = (1 + math.log(1.5)) ** 2
+    zero = F.lit(0.0)
+
+    def closed(s: Column) -> Column:
+        """The sums with the n-gram that has just been counted."""
+        weight = F.when((s["x"] > 0) & (s["y"] > 0), 1.0).otherwise(rare)
+        return F.struct((s["p"] + s["x"] * s["y"] * weight).alias("p"), (s["q"] + s["x"] * s["x"] * weight).alias("q"), (s["r"] + s["y"] * s["y"] * weight).alias("r"))
+
+    def step(s: Column, e: Column) -> Column:
+        new, done = s["g"] != e["g"], closed(s)
+        keep = lambda c: F.when(new, done[c]).otherwise(s[c]).alias(c)
+        count = lambda c, k: (F.when(new, zero).otherwise(s[c]) + F.when(e["k"] == k, 1.0).otherwise(0.0)).alias(c)
+        return F.struct(e["g"].alias("g"), count("x", 0), count("y", 1), keep("p"), keep("q"), keep("r"))
+
+    start = F.struct(F.lit("").alias("g"), *(zero.alias(c) for c in "xypqr"))
+    sums = F.aggregate(ordered, start, step, closed)
+    return F.transform(F.array(sums), lambda s: F.when((s.q > 0) & (s.r > 0), s.p / F.sqrt(s.q * s.r)).otherwise(zero))[0]
 
 
 def tfidf_entails(premise: Column, hypothesis: Column, least: float = 0.4) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,8 +49,8 @@ def paraphrased(rows: DataFrame, text: str = "text", *, prompts: int = 3, dim: i
     for k in range(count):
         out = embed(out, text, dim, forward=FORWARD_PROMPTS[k], backward=BACKWARD_PROMPTS[k]).drop("s")
         out = out.withColumns({c: vec.l2_normalize(F.col(c)) for c in ("f", "b")})
-        out = out.withColumns({f"_{c}": add(f"_{c}", c) if k else F.col(c) for c in ("f", "b")}).drop("f", "b")
-    out = out.withColumns({c: vec.l2_normalize(F.col(f"_{c}")) for c in ("f", "b")}).drop("_f", "_b")
+        out = out.withColumns({f"sum_{c}": add(f"sum_{c}", c) if k else F.col(c) for c in ("f", "b")}).drop("f", "b")
+    out = out.withColumns({c: vec.l2_normalize(F.col(f"sum_{c}")) for c in ("f", "b")}).drop("sum_f", "sum_b")
     return out.withColumn("s", vec.l2_normalize(vec.semantic(F.col("f"), F.col("b"))))
 
 
@@ -67,7 +67,7 @@ class GramVectors:
     def fit(cls, rows: DataFrame, text: str = "text", *, features: int = 8_192, dim: int = 256, seed: int = 2026) -> GramVectors:
         """Counts are combined in each task before the shuffle; ``features`` rows reach the driver."""
         texts = rows.where(F.col(text).isNotNull())
-        grams = texts.select(F.explode(grams_of(F.col(text))).alias("x")).select("x.*")
+        grams = texts.select(F.monotonically_increasing_id().alias("row"), F.explode(text_functions.char_grams(F.col(text))).alias("g")).groupBy("row", "g").agg(F.count("*").alias("n"))
         best = grams.groupBy("g").agg(F.sum("n").alias("n"), F.count("*").alias("df")).orderBy(F.desc("n"), "g").limit(features)
         total, known = texts.count(), sorted((r.g, r.df) for r in best.collect())
         return cls([g for g, _ in known], np.log((1 + total) / (1 + np.array([n for _, n in known], float))) + 1, dim, seed)
@@ -115,12 +115,6 @@ def _grams(text: str) -> Iterator[str]:
             yield from (padded[k : k + n] for k in range(max(1, len(padded) - n + 1)))
 
 
-def grams_of(body: Column) -> Column:
-    """(g, n) of each distinct n-gram of a text."""
-    own = text_functions.char_grams(body)
-    return F.transform(F.array_distinct(own), lambda g: F.struct(g.alias("g"), F.size(F.filter(own, lambda x: x == g)).alias("n")))
-
-
 def embedder(rows: DataFrame | None = None, *, prefer: str = "grams", model=None, dim: int = 256):
     """A function (rows, text, dim) that adds f, b and s: ``model`` if one is given, n-gram vectors fitted to ``rows``,
     else hash vectors."""

@@ -153,7 +153,7 @@ def consolidate(nodes: DataFrame, edges: DataFrame, *, budget: int = 10, as_of:
     refined = graph.mean_field(kept.select("region", "src", "dst", "edge_type", "weight"))
     chains = graph.motif_instances(kept.select("src", "dst", "edge_type", "weight"), 1).join(own.select(F.col("id").alias("a"), "region"), "a")
     found = cut(chains.groupBy("region", "pattern").agg(F.count("*").alias("cnt")).where("cnt >= 2"), "region-motifs")
-    scores = priority(own, kept)
+    scores = priority(own, kept.drop("region"))
     count = lambda df, c: df.groupBy("region").agg(F.count("*").alias(c))
     rows = count(own, "n_nodes").join(count(inner, "n_edges"), "region", "left").join(count(pruned, "n_pruned"), "region", "left").join(scores.select("region", F.col("priority").alias("score")), "region", "left").fillna(0, ["n_edges", "n_pruned"])
     rows = cut(rows, "consolidated")

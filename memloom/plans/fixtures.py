@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.functions import vec
+from memloom.functions import text, vec
 from memloom.operators import graph
 from memloom.operators.vectors import top_k
 from memloom.sources.scratch import cut
@@ -57,4 +57,4 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns with source: system turns are artifacts of earlier retrieval."""
     c = table(spark, sf_dir, "conversations")
-    return c.withColumn("source", F.when(F.col("role") == "system", "recall_artifact").otherwise("conversation"))
+    return c.withColumn("source", F.when(F.col("role") == "system", text.ARTIFACT_SOURCES[0]).otherwise("conversation"))

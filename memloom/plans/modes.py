@@ -221,9 +221,9 @@ w AS (SELECT *, CASE WHEN x > 0 AND y > 0 THEN 1.0 ELSE pow(1 + ln(1.5::DOUBLE),
 cosine AS (SELECT conv_id, turn, sum(x * y * k) / sqrt(sum(x * x * k) * sum(y * y * k)) AS score FROM w GROUP BY 1, 2 HAVING sum(x) > 0 AND sum(y) > 0)"""
 
 
-@query("I16_tfidf_entails", f"WITH pairs AS (SELECT x.conv_id, x.turn, substr(x.text, 1, 300) AS one, substr(y.text, 1, 300) AS two FROM conversations x JOIN conversations y ON y.conv_id = x.conv_id AND y.turn = x.turn + 1), {_COSINE} SELECT conv_id, turn, round(score, 6) AS score, score >= 0.4 AS entails FROM cosine")
+@query("I16_tfidf_entails", f"WITH pairs AS (SELECT x.conv_id, x.turn, x.text AS one, y.text AS two FROM conversations x JOIN conversations y ON y.conv_id = x.conv_id AND y.turn = x.turn + 1), {_COSINE} SELECT conv_id, turn, round(score, 6) AS score, score >= 0.4 AS entails FROM cosine")
 def _(spark, d):
-    c = table(spark, d, "conversations").withColumn("text", text.shortened(F.col("text"), 300))
+    c = table(spark, d, "conversations")
     after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
     return c.join(after, ["conv_id", "turn"]).select("conv_id", "turn", r6(text.tfidf_cosine(F.col("text"), F.col("next"))).alias("score"), text.tfidf_entails(F.col("text"), F.col("next")).alias("entails"))
 
@@ -236,7 +236,7 @@ def _(spark, d):
     return observe.gate(near, least=0.2, most=3).select(F.col("qid").alias("i"), F.col("id").alias("j"), F.col("place").cast("bigint").alias("place"))
 
 
-_PAIRS = _KNN + ", pairs AS (SELECT least(i, j) AS i, greatest(i, j) AS j, max(cos) AS cos FROM knn WHERE cos >= 0 GROUP BY 1, 2), sc AS (SELECT p.i, p.j, cos, list_inner_product(x.c, y.s) - list_inner_product(y.c, x.s) AS anti, -list_inner_product(x.c, y.c) AS sym, sqrt(list_inner_product(x.c, x.c)) * sqrt(list_inner_product(y.c, y.c)) AS cc FROM pairs p JOIN nodes x ON x.id = p.i JOIN nodes y ON y.id = p.j)"
+_PAIRS = _KNN + ", pairs AS (SELECT least(i, j) AS i, greatest(i, j) AS j, max(cos) AS cos FROM knn WHERE cos >= 0 GROUP BY 1, 2), sc AS (SELECT p.i, p.j, cos, list_inner_product(x.c, y.s) - list_inner_product(y.c, x.s) AS an, -list_inner_product(x.c, y.c) AS sym, sqrt(list_inner_product(x.c, x.c)) * sqrt(list_inner_product(y.c, y.c)) AS cc FROM pairs p JOIN nodes x ON x.id = p.i JOIN nodes y ON y.id = p.j)"
 
 
 def _scored(spark, d) -> DataFrame:
@@ -245,12 +245,12 @@ def _scored(spark, d) -> DataFrame:
     return graph.decompose(neighbour_pairs(spark, d))
 
 
-@query("J03_gamma_parts", f"WITH {_PAIRS} SELECT i, j, round(sym, 6) AS sym, round(anti, 6) AS anti, round(sym + anti, 6) AS there, round(sym - anti, 6) AS back FROM sc")
+@query("J03_gamma_parts", f"WITH {_PAIRS} SELECT i, j, round(sym, 6) AS sym, round(an, 6) AS \"anti\", round(sym + an, 6) AS there, round(sym - an, 6) AS back FROM sc")
 def _(spark, d):
     return _scored(spark, d).select("i", "j", r6("sym").alias("sym"), r6("anti").alias("anti"), r6(F.col("sym") + F.col("anti")).alias("there"), r6(F.col("sym") - F.col("anti")).alias("back"))
 
 
-@query("J04_direction", f"WITH {_PAIRS}, s AS (SELECT *, CASE WHEN cc > 1e-9 THEN abs(anti) / (cc + 1e-9) ELSE 0 END AS strength FROM sc) SELECT i, j, CASE WHEN strength < 0.2 THEN 'both' WHEN anti > 0 THEN 'there' ELSE 'back' END AS direction FROM s")
+@query("J04_direction", f"WITH {_PAIRS}, s AS (SELECT *, CASE WHEN cc > 1e-9 THEN abs(an) / (cc + 1e-9) ELSE 0 END AS strength FROM sc) SELECT i, j, CASE WHEN strength < 0.2 THEN 'both' WHEN an > 0 THEN 'there' ELSE 'back' END AS direction FROM s")
 def _(spark, d):
     return _scored(spark, d).select("i", "j", graph.direction(F.col("strength"), F.col("anti")).alias("direction"))
 
@@ -263,8 +263,8 @@ def _(spark, d):
 
 
 _LONELY = _EDGES.replace("typed AS", "typed AS", 1) + """, lonely AS (SELECT * FROM nodes WHERE id NOT IN (SELECT src FROM edges WHERE edge_type = 'pivots' UNION SELECT dst FROM edges WHERE edge_type = 'pivots')),
-two AS (SELECT x.id AS i, y.id AS j, x.text AS ti, y.text AS tj, list_inner_product(x.f, y.b) - list_inner_product(x.s, y.s) AS gij, list_inner_product(y.f, x.b) - list_inner_product(x.s, y.s) AS gji, list_inner_product(x.c, y.s) - list_inner_product(y.c, x.s) AS anti FROM lonely x JOIN knn k ON k.i = x.id JOIN nodes y ON y.id = k.j),
-way AS (SELECT i AS src, j AS dst, gij AS g, anti AS a, tj AS d, ti || ' ' || tj AS b FROM two WHERE abs(gij) >= 0.05 UNION ALL SELECT j, i, gji, -anti, ti, tj || ' ' || ti FROM two WHERE abs(gji) >= 0.05), kinds AS (SELECT *, """ + _TYPE + " AS edge_type FROM way)"
+two AS (SELECT x.id AS i, y.id AS j, x.text AS ti, y.text AS tj, list_inner_product(x.f, y.b) - list_inner_product(x.s, y.s) AS gij, list_inner_product(y.f, x.b) - list_inner_product(x.s, y.s) AS gji, list_inner_product(x.c, y.s) - list_inner_product(y.c, x.s) AS an FROM lonely x JOIN knn k ON k.i = x.id JOIN nodes y ON y.id = k.j),
+way AS (SELECT i AS src, j AS dst, gij AS g, an AS a, tj AS d, ti || ' ' || tj AS b FROM two WHERE abs(gij) >= 0.05 UNION ALL SELECT j, i, gji, -an, ti, tj || ' ' || ti FROM two WHERE abs(gji) >= 0.05), kinds AS (SELECT *, """ + _TYPE + " AS edge_type FROM way)"
 
 
 @query("J06_induce_for_isolated", f"WITH {_LONELY} SELECT src, dst, edge_type, round(CASE WHEN edge_type IN ('contradicts', 'superseded') THEN -abs(g) WHEN g > 0 THEN g ELSE abs(g) * 0.5 END, 6) AS weight FROM kinds")
@@ -275,8 +275,8 @@ def _(spark, d):
 
 @query("J07_observe")
 def _(spark, d):
-    c = table(spark, d, "conversations").where("role <> 'system' AND turn < 4")
-    turns = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), text.shortened(F.col("text"), 400).alias("text"), F.lit("conversation").alias("source"), F.create_map(F.lit("conv"), F.col("conv_id").cast("string")).alias("scope"))
+    c = table(spark, d, "conversations")
+    turns = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), "text", F.when(F.col("role") == "system", text.ARTIFACT_SOURCES[0]).otherwise("conversation").alias("source"), F.create_map(F.lit("conv"), F.col("conv_id").cast("string")).alias("scope"))
     return observe.observe(turns).edges.select("src", "dst", "edge_type", r6("weight").alias("weight"))
 
 
@@ -528,9 +528,9 @@ def _(spark, d):
 
 
 # N: regions of the graph.
-_SPLIT = _EDGES + """, some AS (SELECT *, src % 48 AS hour FROM edges WHERE edge_type IN ('supports', 'agrees')), adj AS (SELECT DISTINCT src AS u, dst AS v FROM (SELECT src, dst FROM some UNION ALL SELECT dst, src FROM some) WHERE src <> dst),
+_SPLIT = _EDGES + """, part AS (SELECT *, src % 48 AS hour FROM edges WHERE edge_type IN ('supports', 'agrees')), adj AS (SELECT DISTINCT src AS u, dst AS v FROM (SELECT src, dst FROM part UNION ALL SELECT dst, src FROM part) WHERE src <> dst),
 reach AS (SELECT id AS node, id AS root FROM nodes UNION SELECT v, root FROM reach JOIN adj ON u = node), reg AS (SELECT node AS id, min(root) AS region FROM reach GROUP BY 1),
-st AS (SELECT region, max(hour) AS newest, count(*) AS e, coalesce(stddev_pop(weight), 0) AS spread FROM some JOIN reg ON reg.id = src GROUP BY 1), vs AS (SELECT region, count(*) AS v FROM reg GROUP BY 1),
+st AS (SELECT region, max(hour) AS newest, count(*) AS e, coalesce(stddev_pop(weight), 0) AS spread FROM part JOIN reg ON reg.id = src GROUP BY 1), vs AS (SELECT region, count(*) AS v FROM reg GROUP BY 1),
 pr AS (SELECT vs.region, v, coalesce(e, 0) AS e, newest, spread, CASE WHEN e IS NULL THEN 0 ELSE 0.4 / (1 + (48 - newest)) + 0.3 * e / v + 0.3 * spread END::DOUBLE AS priority FROM vs LEFT JOIN st ON st.region = vs.region)"""
 
 
@@ -549,7 +549,7 @@ def _(spark, d):
     return _regions(spark, d)[0].select("id", "region")
 
 
-@query("F05_region_stats", f"WITH RECURSIVE {_SPLIT} SELECT region, v, e, newest::BIGINT AS newest, round(e::DOUBLE / v, 6) AS density, round(spread, 6) AS spread FROM pr")
+@query("F05_region_stats", f"WITH RECURSIVE {_SPLIT} SELECT region, v, e, newest::BIGINT AS newest, round(e::DOUBLE / v, 6) AS density, round(coalesce(spread, 0), 6) AS spread FROM pr")
 def _(spark, d):
     r, e = _regions(spark, d)
     hours = (F.unix_timestamp("newest") - F.unix_timestamp(F.expr("TIMESTAMP '2024-01-01 00:00:00'"))) / 3600

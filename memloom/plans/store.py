@@ -10,8 +10,11 @@ from memloom.operators import graph, ranks, store
 from memloom.operators.store import Store
 from memloom.plans.fixtures import edges, nodes, table
 from memloom.plans.queries import _ADJ, _EDGES, _NODES, query, r6
+from memloom.config import Config
+from memloom.memory import Memory
 from memloom.sources import ingest
 from memloom.sources.scratch import cut, scratch
+from memloom.streaming import jobs
 
 _AT = "TIMESTAMP '2024-01-01 00:00:00'"
 _kept: dict[tuple[str, str], Store] = {}
@@ -288,3 +291,44 @@ def _(spark, d):
 @query("F07_forman_summary", f"WITH {_ADJ}, deg AS (SELECT u, count(*) AS d FROM adj GROUP BY 1), common AS (SELECT x.u, x.v, count(z.v) AS c FROM adj x JOIN adj y ON y.u = x.u LEFT JOIN adj z ON z.u = x.v AND z.v = y.v GROUP BY 1, 2), k AS (SELECT 4 - x.d - y.d + 2 * c AS kappa FROM edges e JOIN deg x ON x.u = e.src JOIN deg y ON y.u = e.dst JOIN common k ON k.u = e.src AND k.v = e.dst) SELECT round(avg(kappa), 6) AS mean, median(kappa)::DOUBLE AS median, min(kappa)::DOUBLE AS least, max(kappa)::DOUBLE AS most, count_if(kappa < 0)::BIGINT AS n_negative, count_if(kappa > 0)::BIGINT AS n_positive FROM k")
 def _(spark, d):
     return ranks.summary(cut(graph.forman(edges(spark, d)), "forman"), "kappa")
+
+
+# P, Q: streams, measures and the whole engine.
+@query("P03_metrics_snapshot", """WITH e AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY k) AS c FROM (SELECT *, CASE WHEN event_type = 'click' THEN 'click' ELSE 'other' END AS k FROM events)),
+s AS (SELECT k, list_sort(list(value)) AS v, count(*) AS n, avg(value) AS m FROM e WHERE c <= 4000 OR r <= 3000 GROUP BY 1)
+SELECT k, n, round(m, 6) AS mean, v[least(n, floor(n * 0.5::DOUBLE)::BIGINT + 1)] AS p50, v[least(n, floor(n * 0.95::DOUBLE)::BIGINT + 1)] AS p95, v[least(n, floor(n * 0.99::DOUBLE)::BIGINT + 1)] AS p99 FROM s""")
+def _(spark, d):
+    e = table(spark, d, "events").withColumn("k", F.when(F.col("event_type") == "click", "click").otherwise("other"))
+    return jobs.snapshot(e, "k", "value", ["ts", "event_id"], most=4_000, kept=3_000).withColumn("mean", r6("mean"))
+
+
+def _edge_files(spark, d) -> str:
+    at = scratch(spark, "edge-files")
+    edges(spark, d).withColumn("created", F.expr(_AT)).repartition(4).write.parquet(at)
+    return at
+
+
+@query("P06_incremental_adjacency", f"WITH {_ADJ} SELECT u, v FROM adj")
+def _(spark, d):
+    at, files = Store(spark, scratch(spark, "kept")).create(), _edge_files(spark, d)
+    jobs.keep_up(spark.readStream.schema(spark.read.parquet(files).schema).option("maxFilesPerTrigger", 2).parquet(files), at, "edges")
+    return graph.adjacency(at.active_edges())
+
+
+@query("P07_periodic_consolidation", "SELECT 'CONSOLIDATE' AS operation, 2::BIGINT AS n")
+def _(spark, d):
+    at, files = Store(spark, scratch(spark, "kept")).create(), _edge_files(spark, d)
+    at.upsert("nodes", _nodes(spark, d))
+    run = lambda store: Memory(store, Config(regions=2)).consolidate(F.expr(_AT))
+    jobs.keep_up(spark.readStream.schema(spark.read.parquet(files).schema).option("maxFilesPerTrigger", 2).parquet(files), at, "edges", run)
+    return at.table("audit").where("operation = 'CONSOLIDATE'").groupBy("operation").agg(F.count("*").alias("n"))
+
+
+@query("Q01_memory_round_trip")
+def _(spark, d):
+    c = table(spark, d, "conversations")
+    turns = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), "text", F.lit("conversation").alias("source"), F.create_map(F.lit("conv"), (F.col("conv_id") % 5).cast("string")).alias("scope"))
+    memory = Memory(Store(spark, scratch(spark, "memory")).create(), Config(dim=64, depth=2))
+    memory.observe(turns, F.expr(_AT))
+    asks = turns.where("seq % 100 = 0").select(F.col("seq").alias("qid"), "text")
+    return memory.search(asks, mode="hybrid", k=3)
