@@ -57,7 +57,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, *, other_than_self: bool
     for part in range(count):
         block = (numbered if count == 1 else numbered.where(F.pmod(F.xxhash64("qid"), F.lit(count)) == part)).toLocalIterator()
         block = [(r.qid, r.v, r[label] if label else None) for r in block]
-        held = np.array([b[1] for b in block], np.float64).reshape(len(block), -1)
+        held = np.array([b[1] for b in block], np.float64).reshape(len(block), -1) if block else np.zeros((0, 1))
         shared = sc.broadcast((np.array([b[0] for b in block]), _unit(held) if metric == "cosine" else held, np.array([str(b[2]) for b in block])))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
