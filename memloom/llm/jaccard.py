@@ -1,5 +1,5 @@
 """N-gram Jaccard join by chosen paths: sets of word n-grams are split recursively on sampled shared n-grams, small
-buckets are compared by brute force, and the runs are repeated until the target recall.
+buckets are compared by brute force, and the runs are repeated until the target share of pairs found.
 
 1. Each text becomes the set of its n-gram hashes; the smallest ``POOL`` of them are its pool, a sample that texts
    choose alike. Equal texts are one from here on.
@@ -32,10 +32,10 @@ WORDS, SIMILAR = 5, 0.8
 POOL = 80
 #: A run meets a pair of similarity s with a chance of about 1 - exp(-s / (1 - s / 2) / 1.25) or more; so many runs
 #: miss a pair of 0.8 with a chance of exp(-0.8 * runs).
-RECALL = 0.9995
+FOUND = 0.9995
 #: N-grams that a member of a large bucket chooses for the next split. A pair shares 0.67 to 0.8 of its pools, so of
 #: one chosen n-gram each split would lose a share; of two it keeps more than one on average, and what ten paths lose
-#: stays below 1 - RECALL at any depth. Splits go on while each leaves less than this share of the rows in large
+#: stays below 1 - FOUND at any depth. Splits go on while each leaves less than this share of the rows in large
 #: buckets, so many times at most.
 BRANCHES, SHRINKS, DEPTH = 2, 0.5, 8
 BUCKET = 512
@@ -53,9 +53,9 @@ _FORM[0x61:0x7B] = np.arange(0x61, 0x7B)
 _FORM[0x80:] = np.arange(0x80, 0x100)
 
 
-def runs_for(recall: float = RECALL, similar: float = SIMILAR) -> int:
-    """Runs that reach the target recall."""
-    return max(1, math.ceil(-math.log(max(1e-12, 1 - recall)) / similar))
+def runs_for(found: float = FOUND, similar: float = SIMILAR) -> int:
+    """Runs that reach the target share of pairs found."""
+    return max(1, math.ceil(-math.log(max(1e-12, 1 - found)) / similar))
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -193,9 +193,9 @@ def _sized(paths: DataFrame) -> DataFrame:
     return paths.join(size, "path")
 
 
-def candidates(reps: DataFrame, *, recall: float = RECALL, similar: float = SIMILAR) -> DataFrame:
+def candidates(reps: DataFrame, *, found: float = FOUND, similar: float = SIMILAR) -> DataFrame:
     """(u, v) ties among the rows (rep, pool) of different texts that may be similar."""
-    paths = reps.select("rep", F.explode(F.slice("pool", 1, runs_for(recall, similar))).alias("path"))
+    paths = reps.select("rep", F.explode(F.slice("pool", 1, runs_for(found, similar))).alias("path"))
     rows = cut(_sized(paths), "jaccard-buckets")
     ties, small = [], []
     before = None
@@ -312,7 +312,7 @@ def _verify(rows: DataFrame, similar: float) -> DataFrame:
     return dealt.mapInArrow(check, "rep bigint, links bigint, root bigint")
 
 
-def classes(docs: DataFrame, *, text: str = "text", row: str, doc_id: str = "doc_id", n: int = WORDS, similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
+def classes(docs: DataFrame, *, text: str = "text", row: str, doc_id: str = "doc_id", n: int = WORDS, similar: float = SIMILAR, found: float = FOUND) -> DataFrame:
     """(row, doc_id, class_id, n_links, kept) of every document; row: a column of distinct numbers.
 
     Words are those of lower-cased ASCII letters, digits and all characters above U+007F. A text of fewer than
@@ -323,7 +323,7 @@ def classes(docs: DataFrame, *, text: str = "text", row: str, doc_id: str = "doc
     own = cut(sketches(docs, text=text, keep=(row, doc_id), n=n).withColumnsRenamed({row: "no", doc_id: "id"}), "jaccard-sketches")
     with_words = own.where("n_grams > 0")
     reps = cut(with_words.groupBy("k1", "k2").agg(F.min(F.struct("no", "pool")).alias("first"), F.count("*").alias("copies"), F.min("id").alias("least")).select("k1", "k2", F.col("first.no").alias("rep"), F.col("first.pool").alias("pool"), "copies", "least"), "jaccard-texts")
-    tied = connected_components(candidates(reps, recall=recall, similar=similar))
+    tied = connected_components(candidates(reps, found=found, similar=similar))
     tied = cut(tied.join(reps.select("k1", "k2", F.col("rep").alias("node"), "copies"), "node").select("k1", "k2", F.col("node").alias("rep"), F.col("component").alias("cluster"), "copies"), "jaccard-clusters")
     sizes = tied.groupBy("cluster").agg(F.count("*").alias("size"))
     tied = cut(_sets_of(docs, tied.join(sizes, "cluster"), text, n), "jaccard-sets")

@@ -236,6 +236,8 @@ def page(data: bytes, order: str, tags: dict[int, tuple] | struct.error) -> np.n
     if bits not in ({8}, {16}) or tags.get(PLANAR, (1,))[0] != 1 or predictor not in (1, 2):
         raise ValueError(f"bits {sorted(bits)}, planar {tags.get(PLANAR, (1,))[0]} or predictor {predictor} isn't supported")
     sample = np.dtype(f"{order}u{bits.pop() // 8}")
+    if not all(isinstance(x, int) and x >= 0 for x in (columns, rows, channels)) or rows * columns * channels * sample.itemsize > MOST_EACH * max(1, len(data)):
+        raise ValueError(f"{columns!r} x {rows!r} x {channels!r} samples can't be in {len(data)} bytes")
     tiled = TILE_OFFSETS in tags
     width, height = (tags[TILE_WIDTH][0], tags[TILE_LENGTH][0]) if tiled else (columns, min(rows, tags.get(ROWS_PER_STRIP, (rows,))[0]))
     places, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
@@ -246,6 +248,8 @@ def page(data: bytes, order: str, tags: dict[int, tuple] | struct.error) -> np.n
         if y >= rows:
             break
         deep = height if tiled else min(height, rows - y)
+        if deep * width * channels * sample.itemsize > MOST_EACH * max(1, len(data)):
+            raise ValueError("a strip or tile is larger than its file can hold")
         raw = _unpack(kind, data[place : place + count], deep * width * channels * sample.itemsize)
         if len(raw) != deep * width * channels * sample.itemsize:
             raise ValueError("a strip or tile is too short")
@@ -277,7 +281,10 @@ def feature(image: np.ndarray) -> str:
 
 
 #: What a broken or unsupported page raises.
-ERRORS = (ValueError, KeyError, IndexError, struct.error, zlib.error, MemoryError)
+ERRORS = (ValueError, KeyError, IndexError, TypeError, OverflowError, struct.error, zlib.error, MemoryError)
+#: Bytes that a compressed byte can stand for at most, in any of the forms; a page whose header asks for more than
+#: its file can hold isn't tried.
+MOST_EACH = 4_096
 PAGES = "page int, width int, height int, channels int, bits int, samples binary, error string"
 
 

@@ -5,6 +5,7 @@ length and decodes chunked transfer framing."""
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -105,16 +106,34 @@ def unchunk(body: bytes) -> bytes:
         at += size + 2
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record, by Content-Length; ends at the first byte that
-    begins no record."""
-    at = 0
+def unpacked(data: bytes) -> bytes:
+    """An archive without compression: one of gzip members (usually one a record) is inflated up to where it breaks."""
+    out = []
+    while data.startswith(b"\x1f\x8b"):
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data) + member.flush())
+        except zlib.error:
+            break
+        data = member.unused_data
+    return b"".join(out) if out else data
+
+
+def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """Headers (lower-case names), block and what is wrong with each record, by Content-Length. Ends at the first byte
+    that begins no record; a header or block that is broken off, or a header without a length, ends it with an error."""
+    data, at = unpacked(data), 0
     while data.startswith(b"WARC/", at):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+        end = data.find(b"\r\n\r\n", at)
+        lines = data[at : end if end >= 0 else len(data)].decode("utf-8", "replace").split("\r\n")[1:]
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(head["content-length"])
-        yield head, data[end + 4 : end + 4 + size]
+        length = head.get("content-length", "")
+        if end < 0 or not length.isdecimal():
+            yield head, b"", "the header is broken off" if end < 0 else f"no length of the block: {length!r}"
+            return
+        size = int(length)
+        block = data[end + 4 : end + 4 + size]
+        yield head, block, None if len(block) == size else f"{len(block)} bytes of the block instead of {size}"
         at = end + 4 + size
         while data.startswith(b"\r\n", at):
             at += 2
@@ -139,17 +158,17 @@ _KINDS = (pa.string(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.in
 def _row(head: dict[str, str], block: bytes, error: str | None = None) -> tuple:
     payload, wrong = _payload(head, block) if error is None else (None, error)
     refers = head.get("warc-refers-to", "").removeprefix("<urn:x-page:").removesuffix(">") or None
-    return head.get("x-page-id"), head.get("warc-type"), refers, None if head.get("warc-type") == "revisit" else payload, head.get("warc-payload-digest", "").removeprefix("sha1:") or None, int(head["x-payload-length"]) if "x-payload-length" in head else None, wrong
+    return head.get("x-page-id"), head.get("warc-type"), refers, None if head.get("warc-type") == "revisit" else payload, head.get("warc-payload-digest", "").removeprefix("sha1:") or None, int(head["x-payload-length"]) if head.get("x-payload-length", "").isdecimal() else None, wrong
 
 
-def read(spark, path: str) -> DataFrame:
+def read(spark, path: str, files: str = "part-*") -> DataFrame:
     """One row per record set: page, record_type, refers, payload (null for revisits and broken ones),
     said_digest, said_bytes and error.
 
     Records of one segment are decoded where they are read. Only segments of longer blocks are shuffled, by
     origin identifier; a set whose numbers have a gap or whose length isn't the total length gets an error.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", files).load(path).select("content")
     wide = fields(_ROW + ", origin string, number int, total bigint, head string, block binary")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,14 +176,15 @@ def read(spark, path: str) -> DataFrame:
         for batch in batches:
             for value in batch.column("content"):
                 rows, size = [], 0
-                for head, block in records(value.as_buffer().to_pybytes()):
-                    if "warc-segment-number" in head:
-                        origin = head.get("warc-segment-origin-id") or head["warc-record-id"]
-                        total = head.get("warc-segment-total-length")
+                for head, block, wrong in records(value.as_buffer().to_pybytes()):
+                    origin = head.get("warc-segment-origin-id") or head.get("warc-record-id")
+                    if wrong is None and head.get("warc-segment-number", "").isdecimal() and origin:
+                        total = head.get("warc-segment-total-length", "")
+                        total = total if total.isdecimal() else None
                         number = int(head["warc-segment-number"])
                         rows.append((None,) * 7 + (origin, number, int(total) if total else None, json.dumps(head) if number == 1 else None, block))
                     else:
-                        rows.append(_row(head, block) + (None,) * 5)
+                        rows.append(_row(head, block, wrong) + (None,) * 5)
                     size += len(block)
                     if size > 8 << 20:
                         yield _batch(rows, kinds, [f.name for f in wide])
@@ -172,7 +192,7 @@ def read(spark, path: str) -> DataFrame:
                 if rows:
                     yield _batch(rows, kinds, [f.name for f in wide])
 
-    parsed = files.mapInArrow(parse, T.StructType(wide))  # both branches parse the files: cheaper than one more copy
+    parsed = archives.mapInArrow(parse, T.StructType(wide))  # both branches parse the files: cheaper than one more copy
     whole = parsed.where(F.col("origin").isNull()).select(*_NAMES)
     sets = parsed.where(F.col("origin").isNotNull()).groupBy("origin").agg(
         F.sort_array(F.collect_list(F.struct("number", "block"))).alias("parts"), F.max("total").alias("total"), F.max("head").alias("head")
