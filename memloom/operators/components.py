@@ -28,17 +28,20 @@ def _is_stars(edges: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 200) -> DataFrame:
     """(node, component) of every node with an edge to another; the component is its least node. Nulls and loops
     are no edges; parallel edges count once.
 
     Rounds grow with the logarithm of the graph's diameter, no group of neighbours is gathered in a row, and the
-    driver sees one truth value a round. Each round is cut in the shared folder."""
+    driver sees one truth value a round. Each round is cut in the shared folder in place of the one before. More than
+    ``max_rounds`` are an error."""
     now = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(f"`{u}` IS NOT NULL AND `{v}` IS NOT NULL AND `{u}` <> `{v}`").distinct()
     now = cut(now, "components")
     for _ in range(max_rounds):
         if _is_stars(now):
             break
-        now = cut(_small(_large(now)), "components")
+        now = cut(_small(_large(now)), "components", now)
+    else:
+        raise RuntimeError(f"components aren't done after {max_rounds} rounds")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -114,7 +114,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, damping: floa
     rank = base.select("id", F.col("q").alias("score"))
     for _ in range(rounds):
         flow = out.join(rank, out.src == rank.id).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("score")).alias("flow"))
-        rank = cut(base.join(flow, "id", "left").select("id", ((1 - damping) * F.col("q") + damping * F.coalesce("flow", F.lit(0.0))).alias("score")), "pagerank")
+        rank = cut(base.join(flow, "id", "left").select("id", ((1 - damping) * F.col("q") + damping * F.coalesce("flow", F.lit(0.0))).alias("score")), "pagerank", rank)
     return rank
 
 
@@ -198,7 +198,7 @@ def mean_field(edges: DataFrame, rounds: int = 5, alpha: float = 0.3, beta: floa
         a = now.join(sums.select(F.col("n").alias("src"), "edge_type", F.col("s").alias("s1"), F.col("c").alias("c1")), ["src", "edge_type"]).join(sums.select(F.col("n").alias("dst"), "edge_type", F.col("s").alias("s2"), F.col("c").alias("c2")), ["dst", "edge_type"])
         count = F.col("c1") + F.col("c2") - 2
         mean = F.when(count > 0, (F.col("s1") + F.col("s2") - 2 * F.col("refined")) / F.greatest(count, F.lit(1))).otherwise(0.0)
-        now = cut(a.withColumn("refined", ((1 - alpha) * F.col("refined") + alpha * mean + beta * F.col("weight")) / (1 + beta)).drop("s1", "c1", "s2", "c2"), "mean-field")
+        now = cut(a.withColumn("refined", ((1 - alpha) * F.col("refined") + alpha * mean + beta * F.col("weight")) / (1 + beta)).drop("s1", "c1", "s2", "c2"), "mean-field", now)
     return now
 
 

@@ -26,7 +26,7 @@ def walk(seeds: DataFrame, edges: DataFrame, depth: int = 4, threshold: float =
         more = tail.join(steps, "src").where(~F.array_contains("nodes", F.col("dst")))
         ended = tail.join(more.select("path").distinct(), "path", "left_anti").select("qid", "seed", "nodes", "cum")
         longer = more.select("qid", "seed", F.concat("nodes", F.array("dst")).alias("nodes"), (F.col("cum") + F.col("weight")).alias("cum"))
-        paths = cut(longer.union(ended).withColumn("place", F.row_number().over(best)).where(F.col("place") <= beam), "walk")
+        paths = cut(longer.union(ended).withColumn("place", F.row_number().over(best)).where(F.col("place") <= beam), "walk", paths)
     return paths
 
 

@@ -340,7 +340,7 @@ def _(spark, d):
 
 
 # E, G, K: search.
-def _recall(spark, d, wanted):
+def _nearest(spark, d, wanted):
     """The ten nearest nodes of each wanted node within its label."""
     n = nodes(spark, d)
     got = top_k(n.where(wanted).select(F.col("id").alias("qid"), F.col("s").alias("v"), "label"), n.select("id", F.col("s").alias("v"), "label"), 10, scope="label")
@@ -349,7 +349,7 @@ def _recall(spark, d, wanted):
 
 @query("K01_symmetric_search", f"WITH {_NODES} SELECT q.id AS qid, n.id AS id, round(list_cosine_similarity(q.s, n.s), 6) AS score FROM nodes q JOIN nodes n ON q.label = n.label WHERE q.id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.s, n.s) DESC, n.id) <= 10")
 def k01(spark, d):
-    return _recall(spark, d, "id % 100 = 0")
+    return _nearest(spark, d, "id % 100 = 0")
 
 
 @query("E05_knn_self_join", f"WITH {_KNN} SELECT i, j, round(cos, 6) AS cos, rank FROM knn")

@@ -67,10 +67,19 @@ def test_gate_and_edge_types(spark):
     rows = [("ok", 0.05), ("As an AI language model, I cannot help with that.", 0.1), (" ".join(["yes"] * 15), 0.2), ("", 0.0)]
     for t, want in rows:
         assert spark.range(1).select(text.quality_score(F.lit(t)).alias("q")).first().q == pytest.approx(want)
-    kinds = [("We use Postgres.", "That is wrong; we use Redis.", -0.2, "contradicts"), ("We tried Postgres LISTEN/NOTIFY.", "We switched to Redis Streams.", 0.3, "pivots"), ("We deployed the change.", "Then the queue stabilized two days later.", 0.0, "temporal_next")]
+    kinds = [("The pump runs at noon.", "Not at all; the pump is off.", -0.2, "contradicts"), ("We tried the small pump.", "They moved to a larger one.", 0.3, "pivots"), ("The valve was opened.", "Two weeks later the tank was full.", 0.0, "temporal_next"), ("The pump is loud.", "The fan hums.", 0.0, "pending")]
     for s, t, g, want in kinds:
-        got = spark.range(1).select(text.edge_type(F.lit(s), F.lit(t), F.lit(g), F.lit(None).cast("double")).alias("k")).first().k
-        assert got == want or (g == 0.0 and got == want)
+        assert spark.range(1).select(text.edge_type(F.lit(s), F.lit(t), F.lit(g), F.lit(None).cast("double")).alias("k")).first().k == want
+    bio = "User Jane Roe is a Google engineer based in San Francisco, age 32."
+    for buffer, low in (("", False), (None, False), ("nothing known", True), ("Jane at Google in San Francisco", False)):
+        got = spark.range(1).select(text.quality_score(F.lit(bio), F.lit(buffer)).alias("q")).first().q
+        assert (got == 0.05) == low
+
+
+def test_words_of_all_scripts_and_paragraphs(spark):
+    row = spark.range(1).select(text.squash(F.lit("Él niño, café!")).alias("w"), text.paragraphs(F.lit("short\n\n  one line\nand its second line \n\ntoo short")).alias("p"), text.thoughts(F.lit("We decided on it. No. It failed!")).alias("t")).first()
+    assert row.w == "él niño café" and row.p == ["one line\nand its second line"]
+    assert [(x.sentence, x.role) for x in row.t] == [("We decided on it.", "decision"), ("It failed!", "outcome")]
 
 
 def test_bounds(spark):
@@ -87,6 +96,7 @@ def test_whole_queries_reach_beyond_the_samples(spark):
     import numpy as np
 
     from memloom.plans.fixtures import edges, nodes
+    from memloom.plans import modes  # noqa: F401 - registers some of them
     from memloom.plans.queries import QUERIES
 
     d = "/root/testdata/sf0.001"
@@ -94,7 +104,7 @@ def test_whole_queries_reach_beyond_the_samples(spark):
     ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     v = v / np.linalg.norm(v, axis=1, keepdims=True)
     got = {}
-    for r in QUERIES["J01_earlier_neighbours_all"](spark, d).collect():
+    for r in QUERIES["J01_earlier_neighbours"](spark, d).collect():
         got.setdefault(r.i, []).append((-r.cos, r.j))
     assert set(got) == set(ids[1:].tolist())
     for k in range(1, len(ids)):
@@ -102,11 +112,11 @@ def test_whole_queries_reach_beyond_the_samples(spark):
         assert np.allclose(sorted(c for c, _ in got[ids[k]]), best, atol=2e-6) and all(j < ids[k] for _, j in got[ids[k]])
     links = {(r.src, r.dst) for r in edges(spark, d).select("src", "dst").collect()}
     chains = sorted((a, b, c) for a, b in links for x, c in links if x == b and a != c)
-    assert sorted(tuple(r) for r in QUERIES["E06_two_chains_all"](spark, d).select("a", "b", "c").distinct().collect()) == chains
+    assert sorted(tuple(r) for r in QUERIES["E06_two_chains"](spark, d).select("a", "b", "c").distinct().collect()) == chains
     hundreds = {i for i in ids.tolist() if i % 100 == 0}
     assert len(hundreds) > 1
-    for name, column in (("K01_symmetric_recall", "qid"), ("K02_beam_walk", "qid"), ("K05_pcst_extract", "qid"), ("L11_hops", "source")):
-        assert {r[0] for r in QUERIES[f"{name}_all"](spark, d).select(column).distinct().collect()} <= hundreds
-    assert {r[0] for r in QUERIES["K01_symmetric_recall_all"](spark, d).select("qid").distinct().collect()} == hundreds
+    for name, column in (("K01_symmetric_search", "qid"), ("K02_beam_walk", "qid"), ("K05_greedy_subgraph", "qid"), ("L11_hops", "source")):
+        assert {r[0] for r in QUERIES[name](spark, d).select(column).distinct().collect()} <= hundreds
+    assert {r[0] for r in QUERIES["K01_symmetric_search"](spark, d).select("qid").distinct().collect()} == hundreds
     items = {r.item_id for r in spark.read.parquet(f"{d}/benchmark.parquet").where("item_id % 100 = 0").collect()}
-    assert {r[0] for r in QUERIES["I21_bm25_all"](spark, d).select("qid").distinct().collect()} <= items
+    assert {r[0] for r in QUERIES["I21_bm25"](spark, d).select("qid").distinct().collect()} <= items
