@@ -487,3 +487,100 @@ def test_repeated_ids_and_long_texts(spark):
     assert sorted(r.n_links for r in jaccard.report(docs).collect()) == [0, 1, 1, 1, 1]
     assert licences.report(docs).count() == secrets.report(docs).count() == tiff.stored(docs).count() == 5
     assert langid.report(docs).where("lang_pred = 'und'").count() == 1
+
+
+def test_secrets_against_brute_force(spark):
+    rnd = random.Random(9)
+    pieces = ["password", "Token", "api_key", "APIKEY", "passwd", "secret", "=", ":", " ", '"', "'", "AKIA", "ABCD1234", "0123456789abcdef", "abc", "xyz/+_.=-", "\u017f", "\u212a", "é", "\n", "Z9"]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 60))) for _ in range(150)] + [None, "", "password = " + "a" * 9000]
+    patterns = {"assign": r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": "(AKIA[A-Z0-9]+)", "hex": "([0-9a-f]+)"}
+    least = {"assign": 8, "access": 16, "hex": 32}
+    for r in secrets.report(docs_of(spark, texts)).collect():
+        found = sorted((m.start(), k, m.end()) for k, p in enumerate(patterns.values()) for m in re.finditer(p, texts[r.doc_id] or "") if len(m[1]) >= list(least.values())[k])
+        line = ",".join(f"{list(patterns)[k]}:{a}:{b}" for a, k, b in found)
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x for _, k, _ in found) for x in range(3)]
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+
+
+def test_mixtures_against_plain_em():
+    """EM and the choice of the set for one text after another, in plain Python."""
+    rng = np.random.default_rng(4)
+    totals = {k: rng.integers(0, 50, langid.BUCKETS).astype(float) * (rng.random(langid.BUCKETS) < 0.1) for k in ("aa", "bb", "cc")}
+    model = langid.Model(totals)
+    chance = np.array([(totals[k] + langid.SMOOTH) / (totals[k] + langid.SMOOTH).sum() for k in ("aa", "bb", "cc")])
+    seen = np.zeros((12, langid.BUCKETS), np.float32)
+    for k in range(12):
+        mixed = rng.dirichlet([0.4] * 3) @ chance
+        seen[k] = np.bincount(rng.choice(langid.BUCKETS, rng.integers(20, 400), p=mixed / mixed.sum()), minlength=langid.BUCKETS)
+    share, _ = model.infer(seen)
+
+    def em(x, start, steps):
+        for _ in range(steps):
+            part = start[:, None] * chance
+            start = (x * part / part.sum(0)).sum(1) / x.sum()
+        return start, (x * np.log(start @ chance)).sum()
+
+    for k, x in enumerate(seen.astype(float)):
+        whole, _ = em(x, np.full(3, 1 / 3), langid.STEPS)
+        order, best = np.argsort(-whole, kind="stable"), (-np.inf, None)
+        for size in (1, 2, 3):
+            if size > 1 and whole[order[size - 1]] < langid.LEAST:
+                break
+            start = np.where(np.isin(np.arange(3), order[:size]), whole, 0)
+            got, log = em(x, start / start.sum(), langid.STEPS if size > 1 else 0)
+            best = max(best, (log - langid.PENALTY * np.log(x.sum()) * (size - 1), got.tolist()))
+        assert np.allclose(share[k], best[1], atol=2e-3)
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    """Each stage on what the one before kept of the smallest input."""
+    import corpus_pipeline as p
+    import tiktoken
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    kept = [docs]
+    for _, stage in p.STAGES:
+        kept.append(p.cut(stage(spark, kept[-1], d), "test-stage"))
+    rows = [{r.doc_id: r for r in df.collect()} for df in kept]
+    assert all(df.columns == docs.columns for df in kept[:-1])
+    # language: clean documents stay byte for byte
+    assert all(rows[0][k] == r for k, r in rows[1].items()) and len(rows[1]) >= 0.9 * len(rows[0])
+    assert not any(re.search(r"[^\W\d_]", r.text or "") is None for r in rows[1].values())
+    # near duplicates: the least document of each class of linked ones
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := fold(r.text)) else set() for k, r in rows[1].items()}
+    root = {k: k for k in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    assert sorted(rows[2]) == sorted(k for k, v in root.items() if k == v)
+    # decontamination: two items or more, or the hit words cut out
+    windows = {}
+    for r in spark.read.parquet(f"{d}/benchmark.parquet").collect():
+        w = fold(r.text)
+        for i in range(max(1, len(w) - 7) if w else 0):
+            windows.setdefault(tuple(w[i : i + 8]), set()).add(r.item_id)
+    for k, r in rows[2].items():
+        w, items, hit = fold(r.text), set(), set()
+        for n in {len(x) for x in windows}:
+            for i in range(len(w) - n + 1):
+                if own := windows.get(tuple(w[i : i + n])):
+                    items |= own
+                    hit |= set(range(i, i + n))
+        assert (k in rows[3]) == (len(items) < 2)
+        if k in rows[3]:
+            assert fold(rows[3][k].text) == [x for i, x in enumerate(w) if i not in hit] and (hit or rows[3][k] == r)
+    # secrets: all stay, only live ones change
+    owners = {}
+    for r in rows[3].values():
+        for *_, v in secrets.find(r.text or ""):
+            owners.setdefault(v, set()).add(r.source)
+    for k, r in rows[3].items():
+        live = [v for *_, v in secrets.find(r.text or "") if len(owners[v] - {None}) <= secrets.MAX_OWNERS]
+        assert (rows[4][k] == r) == (not live) and ("<secret>" in rows[4][k].text) >= bool(live)
+    # tokens
+    v = vocabulary()
+    enc = tiktoken.Encoding("own", pat_str=v["pattern"], mergeable_ranks=bpe.ranks_of(v["path"]), special_tokens={})
+    assert {k: r.ids for k, r in rows[5].items()} == {k: enc.encode_ordinary(r.text) for k, r in rows[4].items()}
