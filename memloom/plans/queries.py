@@ -69,45 +69,16 @@ def _pair(spark: SparkSession, d: str) -> DataFrame:
 
 
 # A, D: storage.
-@query("A02_insert_drawer", "SELECT sha256(text) AS id, min(doc_id) AS doc_id FROM documents GROUP BY 1")
-def _(spark, d):
-    return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("id")).agg(F.min("doc_id").alias("doc_id"))
-
-
-@query("A03_upsert_node", "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
-def _(spark, d):
-    e = table(spark, d, "events")
-    last = e.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type", "value")).alias("x"))
-    return last.select("user_id", "x.event_id", "x.event_type", "x.value")
-
-
-@query("A04_insert_edge", "SELECT o_orderkey AS src, o_custkey AS dst FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)")
-def _(spark, d):
-    return table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"))
-
-
 @query("A05_append_audit", "SELECT event_id, event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS seq FROM events")
 def _(spark, d):
     return ranks.numbered(table(spark, d, "events").select("event_id", "event_type", "user_id", "ts"), ["ts", "event_id"], group=["event_type"]).select("event_id", "event_type", "user_id", "seq")
 
 
-@query("A06_deprecate", "SELECT vec_id AS id, label IN (SELECT label FROM embeddings WHERE vec_id % 200 = 0) AS deprecated FROM embeddings")
-def _(spark, d):
-    e = table(spark, d, "embeddings")
-    gone = e.where("vec_id % 200 = 0").select("label").distinct().withColumn("hit", F.lit(True))
-    return e.join(gone, "label", "left").select(F.col("vec_id").alias("id"), F.coalesce("hit", F.lit(False)).alias("deprecated"))
-
-
 @query("A07_point_lookup", "SELECT doc_id, text FROM documents WHERE doc_id = 17")
 def _(spark, d):
     return table(spark, d, "documents").where("doc_id = 17").select("doc_id", "text")
 
 
-@query("A08_active_nodes_limit", "SELECT doc_id, lang FROM documents WHERE lang = 'en' ORDER BY doc_id DESC LIMIT 25")
-def _(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", "lang").orderBy(F.desc("doc_id")).limit(25)
-
-
 @query("A10_index_load", f"WITH {_NODES} SELECT id, round(s[1] / sqrt(list_inner_product(s, s)), 6) AS s1, round(sqrt(list_inner_product(s, s)), 6) AS size FROM nodes")
 def _(spark, d):
     return nodes(spark, d).select("id", r6(vec.l2_normalize(F.col("s"))[0]).alias("s1"), r6(vec.norm(F.col("s"))).alias("size"))
