@@ -1,0 +1,21 @@
+"""Joins on keys of which one may hold a large share of all rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: A key with at least this share of the rows, and so many of them, is hot; so at most 1,000 keys are.
+HOT_SHARE, HOT_ROWS = 1_000, 1_000
+
+
+def hot_join(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``keyed``, which has one row for each key and in ``count`` how many rows have it.
+    ``total``: rows there are, or more. Hot keys are broadcast, at most ``HOT_SHARE`` of them, so that their rows stay
+    where they are; the others are joined by key. Null keys are in no row of the result."""
+    bar = max(HOT_ROWS, total // HOT_SHARE)
+    if total < bar:
+        return rows.join(keyed, key)
+    hot = F.broadcast(keyed.where(F.col(count) >= bar))
+    rest = rows.join(hot.select(key), key, "left_anti").join(keyed.where(F.col(count) < bar), key)
+    return rows.join(hot, key).unionByName(rest)
