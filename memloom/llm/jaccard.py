@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from memloom.llm.shared import chunks, cut, fields, free_name, plain_names, row_hashes, window_hashes, word_bounds, word_hashes
 from memloom.operators.components import connected_components
+from memloom.operators.skew import hot_join
 
 WORDS, SIMILAR = 5, 0.8
 POOL = 80
@@ -187,16 +188,16 @@ def _ties(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(brute, "u bigint, v bigint").where("u <> v")
 
 
-def _sized(paths: DataFrame) -> DataFrame:
-    """(path, rep, size) of buckets of two or more."""
+def _sized(paths: DataFrame, total: int) -> DataFrame:
+    """(path, rep, size) of buckets of two or more; total: paths there are, or more."""
     size = paths.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-    return paths.join(size, "path")
+    return hot_join(paths, size, "path", "size", total)
 
 
 def candidates(reps: DataFrame, *, found: float = FOUND, similar: float = SIMILAR) -> DataFrame:
     """(u, v) ties among the rows (rep, pool) of different texts that may be similar."""
     paths = reps.select("rep", F.explode(F.slice("pool", 1, runs_for(found, similar))).alias("path"))
-    rows = cut(_sized(paths), "jaccard-buckets")
+    rows = cut(_sized(paths, reps.count() * runs_for(found, similar)), "jaccard-buckets")
     ties, small = [], []
     before = None
     for depth in range(1, DEPTH + 2):
@@ -206,14 +207,15 @@ def candidates(reps: DataFrame, *, found: float = FOUND, similar: float = SIMILA
         if not now:
             break
         big = cut(big.join(reps.select("rep", "pool"), "rep"), "jaccard-big")
-        pivot = big.groupBy("path").agg(F.min("rep").alias("pivot"))
+        pivot = big.groupBy("path").agg(F.min("rep").alias("pivot"), F.count("*").alias("size"))
         pivot = pivot.join(reps.select(F.col("rep").alias("pivot"), F.col("pool").alias("held")), "pivot")
         common = F.size(F.array_intersect("pool", "held"))
-        near = big.join(pivot, "path").withColumn("common", common).withColumn("like", F.col("common") / (F.size("pool") + F.size("held") - F.col("common")))
+        near = hot_join(big.drop("size"), pivot, "path", "size", now).withColumn("common", common).withColumn("like", F.col("common") / (F.size("pool") + F.size("held") - F.col("common")))
         near = cut(near.select("path", "rep", "pool", "pivot", "like"), "jaccard-near")
         ties.append(near.where((F.col("like") >= TIE) & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
-        left = near.groupBy("path").agg(F.count_if(F.col("like") < TIE).alias("untied"), F.count_if(F.col("like") < ABSORB).alias("size")).where("untied > 0 AND size > 1")
-        rest = near.where(F.col("like") < ABSORB).select("path", "rep", "pool", (F.col("like") < TIE).alias("lone")).join(left, "path")
+        left = near.groupBy("path").agg(F.count_if(F.col("like") < TIE).alias("untied"), F.count_if(F.col("like") < ABSORB).alias("size")).where("untied > 0 AND size > 1")  # of large buckets only
+        rest = near.where(F.col("like") < ABSORB).select("path", "rep", "pool", (F.col("like") < TIE).alias("lone"))
+        rest = hot_join(rest, left, "path", "size", now)
         rest = cut(rest, "jaccard-rest")
         small.append(rest.where(F.col("size") <= BUCKET).select("path", F.lit(0).cast("bigint").alias("side"), "rep"))
         rest = rest.where(F.col("size") > BUCKET)
@@ -223,7 +225,7 @@ def candidates(reps: DataFrame, *, found: float = FOUND, similar: float = SIMILA
             other = F.filter("pool", lambda x: x != F.col("path"))  # none left: all texts of this pool go on together
             other = F.when(F.size(other) > 0, other).otherwise(F.array("path"))
             chosen = F.slice(F.array_sort(F.transform(other, lambda x: F.struct(F.xxhash64("path", x).alias("h"), x.alias("x")))), 1, BRANCHES)
-            rows = cut(_sized(rest.select("rep", F.explode(F.transform(chosen, lambda c: F.xxhash64(c.h, c.x, F.lit(depth)))).alias("path"))), "jaccard-buckets")
+            rows = cut(_sized(rest.select("rep", F.explode(F.transform(chosen, lambda c: F.xxhash64(c.h, c.x, F.lit(depth)))).alias("path")), BRANCHES * now), "jaccard-buckets")
         else:  # what no split makes small: blocks of texts that aren't tied to the pivot against all blocks
             lone, tied = (F.ceil(c / BUCKET).cast("int") for c in (F.col("untied"), F.col("size") - F.col("untied")))
             place = lambda n: F.pmod(F.xxhash64("rep", F.lit(7)), F.greatest(n, F.lit(1))).cast("int")
