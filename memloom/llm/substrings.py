@@ -33,9 +33,10 @@ ROUNDS = 2
 STEP_BYTES = 1 << 19
 #: Bits of the map of repeated symbols for each of them, and the least and most it has (128 MiB). A full map costs
 #: time (windows are then compared that needn't be) and changes no result.
-BITS_EACH, LEAST_BITS, MOST_BITS = 8, 1 << 20, 1 << 30
-#: Bytes of ranges of first places that are broadcast to the last scan; beyond it they are joined to the documents.
-BROADCAST_BYTES = 16 << 20
+BITS_EACH, LEAST_BITS, MOST_BITS = 64, 1 << 20, 1 << 30
+#: Bytes of ranges of first places (flat arrays) that are broadcast to the last scan; beyond it they are joined to the
+#: documents, which are then shuffled once.
+BROADCAST_BYTES = 64 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
