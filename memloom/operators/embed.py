@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from memloom.functions import text as text_functions
 from memloom.functions import vec
+from memloom.sources.scratch import cut
 
 
 def hash_vectors(rows: DataFrame, text: str = "text", dim: int = 256, *, forward: str = vec.FORWARD_PROMPT, backward: str = vec.BACKWARD_PROMPT) -> DataFrame:
@@ -54,6 +55,16 @@ def paraphrased(rows: DataFrame, text: str = "text", *, prompts: int = 3, dim: i
     return out.withColumn("s", vec.l2_normalize(vec.semantic(F.col("f"), F.col("b"))))
 
 
+def expanded(rows: DataFrame, text: str = "text", *, forward, backward, dim: int = 256, embed=hash_vectors) -> DataFrame:
+    """``rows`` with f, b and s: the forward vector of what ``forward`` makes of the text and the backward vector of
+    what ``backward`` does (column functions, of a language model for instance). Each distinct text is asked once."""
+    asked = cut(rows.select(F.col(text).alias("asked_")).where("asked_ IS NOT NULL").distinct().select("asked_", forward(F.col("asked_")).alias("then_"), backward(F.col("asked_")).alias("before_")), "expansions")
+    there = embed(asked.select("asked_", "then_"), "then_", dim).select("asked_", "f")
+    back = embed(asked.select("asked_", "before_"), "before_", dim).select("asked_", "b")
+    both = there.join(back, "asked_").withColumn("s", vec.l2_normalize(vec.semantic(F.col("f"), F.col("b"))))
+    return rows.join(both, F.col(text) == F.col("asked_"), "left").drop("asked_")
+
+
 class GramVectors:
     """Vectors of the character n-grams of texts: logarithm of the count times the rarity, turned to ``dim`` numbers
     by a fixed random matrix. The ``features`` most frequent n-grams are learned from all texts."""

@@ -314,11 +314,14 @@ def bounded_answers(queries: DataFrame, context: DataFrame, *, model=echo, metho
     entails = text.tfidf_entails if method == "tfidf" else text.lexical_entails
     held = context.groupBy("qid").agg(F.first("prompt").alias("prompt"), F.array_sort(F.collect_list(F.struct("id", "text"))).alias("held"), F.count("*").alias("n"), F.first("n_edges").alias("e"))
     rows = queries.select("qid", F.col("text").alias("query")).join(held, "qid", "left")
+    rows = cut(rows, "asked-models")
     rows = rows.withColumn("answer", model(F.concat(F.lit("Context:\n"), F.coalesce("prompt", F.lit("(no context)")), F.lit("\n\nQuestion: "), F.col("query"))))
     rows = rows.withColumns({"claims": text.claims(F.col("answer")), "texts": F.transform("held", lambda x: x["text"])})
     rows = rows.withColumn("union", F.array_join("texts", " "))
     backed = lambda c: F.coalesce(F.exists("texts", lambda t: entails(t, c)) | entails(F.col("union"), c), F.lit(False))
-    rows = rows.withColumn("flagged", F.filter("claims", lambda c: ~backed(c)))
+    # written once each, as the plan would repeat these expressions at every use
+    rows = cut(rows.drop("held"), "answers")
+    rows = cut(rows.withColumn("flagged", F.filter("claims", lambda c: ~backed(c))).drop("texts", "union"), "checked-answers")
     rows = rows.withColumn("off", F.size("flagged") / F.greatest(F.size("claims"), F.lit(1)))
     n, e = F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)), F.coalesce("e", F.lit(0))
     spectral = F.when(e > 0, bounds.spectral_bound(e, bounds.estimate_cheeger(e, F.coalesce("n", F.lit(0)))))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from memloom.functions import text, vec
 from memloom.operators import graph
 from memloom.operators.embed import hash_vectors
-from memloom.operators.store import drawer_id
+from memloom.operators.store import OPERATIONS, drawer_id
 from memloom.operators.vectors import top_k
 from memloom.sources.ingest import is_fast
 from memloom.sources.scratch import cut
@@ -104,7 +104,7 @@ def observe(turns: DataFrame, *, known_drawers: DataFrame | None = None, known_t
     edges = cut(graph.induce(_ends(near, promoted)), "observed-edges")
     entry = lambda df, seq, op, kind, target, why: df.select(seq.alias("seq"), F.lit(op).alias("operation"), F.lit(kind).alias("target_type"), target.cast("string").alias("target_id"), F.lit(why).alias("reason"))
     seq = F.col("seq")
-    audit = entry(rows.where(looped), seq, "REJECT_RECALL_LOOP", "drawer", F.lit("<unwritten>"), "provenance_firewall")
+    audit = entry(rows.where(looped), seq, OPERATIONS[0], "drawer", F.lit("<unwritten>"), "provenance_firewall")
     audit = audit.union(entry(passed.join(drawers.select("seq"), "seq", "left_anti"), seq, "SKIP_DUPLICATE_DRAWER", "drawer", F.col("id"), "hash_dedup"))
     audit = audit.union(entry(drawers, seq, "WRITE", "drawer", F.col("id"), None))
     for kind, op, why in (("rejected", "REJECT", "low_quality"), ("duplicate", "SKIP_DUPLICATE_NODE", "text_hash_dedup"), ("promoted", "PROMOTE", None)):

@@ -95,10 +95,13 @@ def density_gaps(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def linearize(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """region and its text for a prompt: a line for each node (by id; ``[Nk] (role) text``), under it one for each
-    edge inside the region. Regions are extracted subgraphs, so their size is bounded by the extraction's budget."""
+    """region and its text for a prompt: a line for each node (by id; ``[Nk] (role) text``, with the first 200
+    characters of the drawers' texts where the nodes have a column drawers, an array), under it one for each edge
+    inside the region. Regions are extracted subgraphs, so their size is bounded by the extraction's budget."""
     order = Window.partitionBy("region").orderBy("id")
-    named = nodes.select("region", "id", F.concat(F.lit("[N"), F.row_number().over(order), F.lit("]")).alias("name"), F.concat(F.lit("("), F.coalesce("role", F.lit("fact")), F.lit(") "), F.coalesce("text", F.lit(""))).alias("body"))
+    quoted = F.array_join("drawers", " | ") if "drawers" in nodes.columns else F.lit("")
+    quoted = F.when(F.length(quoted) > 0, F.concat(F.lit('  (verbatim: "'), F.substring(quoted, 1, 200), F.lit('")'))).otherwise("")
+    named = nodes.select("region", "id", F.concat(F.lit("[N"), F.row_number().over(order), F.lit("]")).alias("name"), F.concat(F.lit("("), F.coalesce("role", F.lit("fact")), F.lit(") "), F.coalesce("text", F.lit("")), quoted).alias("body"))
     to = named.select("region", F.col("id").alias("dst"), F.col("name").alias("to"))
     out = edges.join(named.select("region", F.col("id").alias("src")), "src").join(to, ["region", "dst"])
     arrow = F.format_string("    --(%s, w=%+.3f)--> %s", "edge_type", "weight", "to")

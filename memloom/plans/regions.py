@@ -85,6 +85,17 @@ def _(spark, d):
     return rows.select("conv_id", "turn", r6(F.col("f")[0]).alias("f1"), r6(F.col("b")[7]).alias("b8"), r6(vec.dot(F.col("f"), F.col("b"))).alias("cos"))
 
 
+@query("I29_expanded_vectors", f"""WITH s AS (SELECT conv_id, turn, 'then: ' || text AS x, 'before: ' || text AS y FROM conversations),
+h AS (SELECT conv_id, turn, sha256('text::' || x || '::0') AS h0, sha256('{vec.FORWARD_PROMPT}::' || x || '::1') AS h1, sha256('text::' || y || '::0') AS h3, sha256('{vec.BACKWARD_PROMPT}::' || y || '::2') AS h2 FROM s),
+v AS (SELECT conv_id, turn, {_hash_sql('', 0)} AS t, {_hash_sql('', 1)} AS f, {_hash_sql('', 3)} AS u, {_hash_sql('', 2)} AS b FROM h),
+x AS (SELECT conv_id, turn, list_transform(range(1, 9), lambda i: 0.7 * t[i] + 0.3 * f[i]) AS f, list_transform(range(1, 9), lambda i: 0.7 * u[i] + 0.3 * b[i]) AS b FROM v)
+SELECT conv_id, turn, round(list_cosine_similarity(f, b), 6) AS cos FROM x""")
+def _(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    out = embed.expanded(rows, forward=lambda t: F.concat(F.lit("then: "), t), backward=lambda t: F.concat(F.lit("before: "), t))
+    return out.select("conv_id", "turn", r6(vec.dot(F.col("f"), F.col("b"))).alias("cos"))
+
+
 # Regions are the labels of the nodes; role and quality are made from the id.
 _REGIONS = _EDGES + """, r AS (SELECT id, label AS region, s, CASE WHEN id % 3 = 0 THEN 'fact' ELSE 'outcome' END AS role, (id % 10) / 10.0::DOUBLE AS quality FROM nodes),
 inside AS (SELECT e.*, x.region, x.role, x.s AS sx, y.s AS sy FROM edges e JOIN r x ON x.id = src JOIN r y ON y.id = dst WHERE x.region = y.region),
@@ -134,12 +145,13 @@ def _(spark, d):
 
 # The extracted subgraphs of I20: each node with the targets of its edges.
 @query("I20_linearize", f"""WITH {_EDGES}, m AS (SELECT src AS region, dst AS id FROM edges UNION SELECT id, id FROM nodes),
-n AS (SELECT region, id, '[N' || row_number() OVER (PARTITION BY region ORDER BY id) || ']' AS name, '(' || CASE WHEN id % 3 = 0 THEN 'fact' ELSE 'outcome' END || ') node ' || id AS body FROM m),
+n AS (SELECT region, id, '[N' || row_number() OVER (PARTITION BY region ORDER BY id) || ']' AS name, '(' || CASE WHEN id % 3 = 0 THEN 'fact' ELSE 'outcome' END || ') node ' || id || CASE WHEN id % 4 = 0 THEN '  (verbatim: "' || substr('said ' || id || ' | ' || repeat('so ', 80), 1, 200) || '")' ELSE '' END AS body FROM m),
 l AS (SELECT region, id, -1 AS dst, '' AS kind, name || ' ' || body AS line FROM n UNION ALL
   SELECT x.region, x.id, y.id, edge_type, printf('    --(%s, w=%+.3f)--> %s', edge_type, weight, y.name) FROM edges JOIN n x ON x.id = src JOIN n y ON y.region = x.region AND y.id = dst)
 SELECT region, string_agg(line, chr(10) ORDER BY id, dst, kind) AS text FROM l GROUP BY 1""")
 def _(spark, d):
-    e, n = edges(spark, d), _regions(spark, d).select("id", "role", "text")
+    said = F.when(F.col("id") % 4 == 0, F.array(F.concat(F.lit("said "), "id"), F.lit("so " * 80))).otherwise(F.array().cast("array<string>"))
+    e, n = edges(spark, d), _regions(spark, d).select("id", "role", "text", said.alias("drawers"))
     members = e.select(F.col("src").alias("region"), F.col("dst").alias("id")).union(n.select(F.col("id").alias("region"), "id")).distinct()
     return regions.linearize(members.join(n, "id"), e)
 

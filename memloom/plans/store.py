@@ -267,7 +267,7 @@ def _(spark, d):
     return at.audit_since(since).groupBy("operation").agg(F.count("*").alias("n"))
 
 
-@query("P02_audit_vocabulary", "SELECT unnest(['REJECT_RECALL_LOOP','SKIP_DUPLICATE_DRAWER','WRITE','REJECT','SKIP_DUPLICATE_NODE','PROMOTE','GENERATE','GENERATION_BLOCKED','FORGET','INDUCE_EDGE','PRUNE','MOTIF','PMED_SCORE','CONSOLIDATE']) AS operation")
+@query("P02_audit_vocabulary", "SELECT unnest([" + ", ".join(f"'{x}'" for x in store.OPERATIONS) + "]) AS operation")
 def _(spark, d):
     return spark.createDataFrame([(x,) for x in store.OPERATIONS], "operation string")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions import text, vec
 from memloom.operators import embed, graph, modes, observe, ranks, regions, retrieve, spectral
+from memloom.operators.store import OPERATIONS
 from memloom.operators.vectors import top_k
 
 
@@ -238,7 +239,7 @@ def test_write_path(spark):
     assert all(r.edge_type == "pivots" for r in edges if r.dst > r.src)
     assert observe.observe(turns_of(spark, said, "document")).edges.count() == 0
     looped = observe.observe(turns_of(spark, said, text.ARTIFACT_SOURCES[0]))
-    assert looped.drawers.count() == 0 and {r.operation for r in looped.audit.collect()} == {"REJECT_RECALL_LOOP"}
+    assert looped.drawers.count() == 0 and {r.operation for r in looped.audit.collect()} == {OPERATIONS[0]}
     again = observe.observe(turns_of(spark, said), known_drawers=got.drawers.select("id"))
     assert again.nodes.count() == 0
 
