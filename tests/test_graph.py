@@ -43,20 +43,6 @@ def test_components_of_a_long_path_and_nulls(spark):
     assert connected_components(edges.limit(0)).count() == 0
 
 
-def test_components_and_joins_with_hot_keys(spark, monkeypatch):
-    from memloom.operators import skew
-
-    monkeypatch.setattr(skew, "HOT_ROWS", 5)
-    monkeypatch.setattr(skew, "HOT_SHARE", 10)
-    edges = [(0, k) for k in range(1, 60)] + [(k, k + 100) for k in range(10)] + [(300, 301), (301, 302)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert {k for k, c in got.items() if c == 0} == {*range(60), *range(100, 110)} and {got[k] for k in (300, 301, 302)} == {300}
-    rows = spark.createDataFrame([(k % 3 if k < 50 else k, k) for k in range(80)] + [(None, 1)], "a long, b long")
-    keyed = rows.where("a IS NOT NULL").groupBy("a").agg(F.count("*").alias("n"), F.max("b").alias("m"))
-    plain = sorted(map(tuple, rows.join(keyed, "a").collect()))
-    assert sorted(map(tuple, skew.hot_join(rows, keyed, "a", "n", 81).collect())) == plain
-
-
 def test_walk_keeps_ends_and_never_repeats(spark):
     e = graph_of(spark, [(1, 2, "agrees", 0.5), (2, 1, "agrees", 0.5), (2, 3, "agrees", -0.5)])
     got = retrieve.walk(spark.createDataFrame([(0, 1)], "qid long, seed long"), e, depth=5).collect()
