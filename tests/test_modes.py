@@ -364,3 +364,31 @@ def test_answers_and_their_support(spark):
         assert [got[1].n_claims, len(got[1].flagged), len(got[2].flagged)] == [2, 1, 2] and got[1].bound <= 1
     assert spark.range(1).select(text.tfidf_cosine(F.lit("same words"), F.lit("same words")).alias("x")).first().x == pytest.approx(1)
     assert spark.range(1).select(vec.sigmoid(F.lit(0.0)).alias("x"), retrieve.route(F.lit("why?"), F.lit(1.0), F.lit(0.1), F.lit(3.0), F.lit(2)).alias("m")).first().m == "walk_deep"
+
+
+def against_sql(spark, at, name, table, rows):
+    """A query's rows and those of its SQL over ``rows`` (a frame) as the only input table."""
+    import duckdb
+
+    from memloom.plans import queries, store  # noqa: F401 - registers its queries
+
+    rows.write.parquet(f"{at}/{table}.parquet")
+    with duckdb.connect() as c:
+        c.execute("SET TimeZone = 'UTC'")
+        c.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{at}/{table}.parquet/*.parquet')")
+        want = c.execute(queries.ORACLE_SQL[name]).fetchall()
+    order = lambda rows: sorted(map(tuple, rows), key=lambda r: [(x is None, str(x)) for x in r])
+    return order(queries.QUERIES[name](spark, str(at)).collect()), order(want)
+
+
+def test_rolling_buffer(spark, tmp_path):
+    import memloom.plans.modes  # noqa: F401 - registers its queries
+
+    turns = [(c, t, f"{c} {t}") for c in range(3) for t in range(30) if (c, t) != (2, 5)] + [(3, 5, "alone")]
+    repeated = [(0, 5, "again"), (0, 5, None), (1, 5, None), (None, 5, "x"), (None, 5, "y"), (4, None, "z"), *[(5, 5, None)] * 25]
+    got, want = against_sql(spark, tmp_path, "P05_rolling_buffer", "conversations", spark.createDataFrame(turns + repeated, "conv_id long, turn long, text string"))
+    assert got == want and len(want) == 33 and max(n or 0 for _, _, n in want) == 20
+    # the operator itself sees every turn before
+    rows = spark.createDataFrame(turns, "conv_id long, turn long, text string")
+    for r in observe.buffers(rows, ["conv_id"], "turn", "text").collect():
+        assert r.buffer == [x for c, t, x in turns if c == r.conv_id and t < r.turn][-20:]
