@@ -392,3 +392,15 @@ def test_rolling_buffer(spark, tmp_path):
     rows = spark.createDataFrame(turns, "conv_id long, turn long, text string")
     for r in observe.buffers(rows, ["conv_id"], "turn", "text").collect():
         assert r.buffer == [x for c, t, x in turns if c == r.conv_id and t < r.turn][-20:]
+
+
+@pytest.mark.parametrize("n", [0, 30, 60])
+def test_audit_order(spark, tmp_path, n):
+    import memloom.plans.store  # noqa: F401 - registers its queries
+
+    for name in ("conversations", "embeddings"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
+    times = [None if k % 10 == 3 else f"{1900 + 7 * k % 180}-0{k % 9 + 1}-11 10:20:{k % 60}.25" for k in range(n)]  # a third or more before 1970
+    rows = spark.createDataFrame([(k, t, k % 7, "click", 1.0) for k, t in enumerate(times)], "event_id long, ts string, user_id long, event_type string, value double")
+    got, want = against_sql(spark, tmp_path, "G13_audit_order", "events", rows.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+    assert got == want and want[0][1] == min(n, 50)
