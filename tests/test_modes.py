@@ -404,3 +404,29 @@ def test_audit_order(spark, tmp_path, n):
     rows = spark.createDataFrame([(k, t, k % 7, "click", 1.0) for k, t in enumerate(times)], "event_id long, ts string, user_id long, event_type string, value double")
     got, want = against_sql(spark, tmp_path, "G13_audit_order", "events", rows.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
     assert got == want and want[0][1] == min(n, 50)
+
+
+def _brute(v, label, q, k, *, scope=False, apart=False, earlier=False, other=False):
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    score = {j: round(float(unit[q] @ unit[j]), 12) for j in range(len(v)) if (not scope or label[j] == label[q]) and (not apart or label[j] != label[q]) and (not earlier or j < q) and (not other or j != q)}
+    return sorted(score, key=lambda j: (-score[j], j))[:k]
+
+
+def test_many_queries_stay_in_their_scope_and_off_the_driver(spark, monkeypatch):
+    monkeypatch.setattr("memloom.operators.vectors.FEW", 3, raising=False)
+    monkeypatch.setattr("memloom.operators.vectors.BLOCK", 9)
+    monkeypatch.setattr("memloom.operators.vectors.STEP", 16)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *_: pytest.fail("vectors went through the driver"))
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((150, 4))
+    v[100:] = v[rng.integers(0, 5, 50)]  # equal vectors, so that ids decide
+    label = [k % 30 if k < 60 else 31 for k in range(150)]
+    df = spark.createDataFrame([(k, [float(x) for x in v[k]], label[k]) for k in range(150)], "id long, v array<double>, label int")
+    asked = df.withColumnRenamed("id", "qid")
+    for options in ({"scope": "label"}, {"scope": "label", "earlier": True}, {"apart": "label"}, {"other_than_self": True}):
+        got = {}
+        for r in top_k(asked, df, 3, **options).collect():
+            got.setdefault(r.qid, {})[r["rank"]] = r.id
+        for q in range(150):
+            want = _brute(v, label, q, 3, scope="scope" in options, apart="apart" in options, earlier=options.get("earlier"), other=options.get("other_than_self"))
+            assert [got.get(q, {})[k + 1] for k in range(len(want))] == want and len(got.get(q, {})) == len(want)
