@@ -430,3 +430,20 @@ def test_many_queries_stay_in_their_scope_and_off_the_driver(spark, monkeypatch)
         for q in range(150):
             want = _brute(v, label, q, 3, scope="scope" in options, apart="apart" in options, earlier=options.get("earlier"), other=options.get("other_than_self"))
             assert [got.get(q, {})[k + 1] for k in range(len(want))] == want and len(got.get(q, {})) == len(want)
+
+
+def test_merging_searches_all_vectors_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.standard_normal((30, 3)), np.repeat([[1.0, 0.2, 0.1]], 15, 0), rng.normal([0, 1, 0], 0.05, (15, 3))])  # more equal and near ones than are looked up
+    asked = []
+    monkeypatch.setattr(spectral, "top_k", lambda q, *args, **options: (asked.append(q.count()), top_k(q, *args, **options))[1])
+    got = spectral.merges(spark.createDataFrame([(k, [float(x) for x in v[k]]) for k in range(60)], "id long, s array<double>"), 1.0).collect()
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    links = sorted((max(0.0, round(1 - float(unit[a] @ unit[b]), 9)), a, b) for a in range(60) for b in range(a) if unit[a] @ unit[b] >= 0)
+    label, want = list(range(60)), []
+    for d, a, b in links:
+        if label[a] != label[b]:
+            want.append(d)
+            label = [label[b] if x == label[a] else x for x in label]
+    assert np.allclose(sorted(r.d for r in got), want, atol=1e-8)
+    assert asked[0] == 60 and all(n <= 30 for n in asked[1:])
