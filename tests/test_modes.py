@@ -447,3 +447,29 @@ def test_merging_searches_all_vectors_once(spark, monkeypatch):
             label = [label[b] if x == label[a] else x for x in label]
     assert np.allclose(sorted(r.d for r in got), want, atol=1e-8)
     assert asked[0] == 60 and all(n <= 30 for n in asked[1:])
+
+
+def test_features_go_no_farther_than_half_way(spark, monkeypatch):
+    links = [(a, b, "supports", 0.5) for a, b in [(k, k + 1) for k in range(14)] + [(20, 21), (3, 9), (0, 0)]]
+    edges = frame(spark, links)
+    steps = []
+    monkeypatch.setattr(graph, "hops", lambda e, s, most, own=graph.hops: (steps.append(most), own(e, s, most))[1])
+    pairs = [(0, 3), (0, 4), (0, 12), (3, 9), (5, 14), (1, 20), (20, 21), (2, 8), (7, 14)]
+    got = {(r.a, r.b): r.hops for r in graph.hops_between(edges, spark.createDataFrame(pairs, "a long, b long")).collect()}
+    around = {}
+    for a, b, *_ in links:
+        around.setdefault(a, set()).add(b)
+        around.setdefault(b, set()).add(a)
+
+    def far(a, b):
+        seen, edge, n = {a}, {a}, 0
+        while edge and b not in seen:
+            edge, n = set().union(*(around[x] for x in edge)) - seen, n + 1
+            seen |= edge
+        return n if b in seen else 99
+
+    assert got == {(a, b): far(a, b) for a, b in pairs if far(a, b) <= 6}
+    seeds = spark.createDataFrame([(1, 0, 1), (1, 4, 2), (1, 12, 3), (2, 5, 1), (2, 14, 2), (3, 7, 1)], "qid long, seed long, rank int")
+    found = {r.qid: r.hops for r in modes.features(seeds, spark.range(25), edges).collect()}
+    own = [far(0, 4), *[x for x in (far(0, 12), far(4, 12)) if x <= 6]]
+    assert found == {1: sum(own) / len(own), 2: 6.0 if far(5, 14) > 6 else float(far(5, 14)), 3: 0.0} and set(steps) == {3}
