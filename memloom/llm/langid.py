@@ -14,8 +14,6 @@ from pyspark.sql import types as T
 
 from memloom.llm.shared import chunks, fields
 
-#: Labelled documents that the likelihoods are learned from, at most about this many of all languages.
-SAMPLE_DOCUMENTS = 20_000
 #: Hashed n-grams of three bytes, with the word borders among them.
 BUCKETS = 4_096
 #: Documents of one numpy step: a row of all buckets is 16 KiB.
@@ -108,15 +106,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE_DOCUMENTS) -> Model:
-    """Likelihoods from text and non-null lang of documents that aren't held out: a bounded sample, in equal parts
-    for the languages, so that a rare one is learned as well: of each, the documents whose id's hash is in the
-    smallest share that holds about its part. Counts of n-grams are summed up by language and bucket in the cluster;
-    only the sums, at most ``BUCKETS`` for each language, reach the driver."""
-    rows = docs.where(F.col(lang).isNotNull() & ~held_out(doc_id)).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.pmod(F.xxhash64(doc_id), F.lit(1 << 30)).alias("place"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    part = sizes.agg(F.lit(sample) / F.greatest(F.count("*"), F.lit(1))).first()[0]
-    rows = rows.join(F.broadcast(sizes.select("lang", (F.least(F.lit(1.0), F.lit(part) / F.col("n")) * F.lit(1 << 30)).alias("end"))), "lang").where("place <= end").select("text", "lang")
+def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model:
+    """Likelihoods from text and non-null lang of all documents that aren't held out; each language's are shares of its
+    own counts, so a rare one is learned as well. Counts of n-grams are summed up by language and bucket in each task
+    and then in the cluster; only the sums, at most ``BUCKETS`` for each language, reach the driver."""
+    rows = docs.where(F.col(lang).isNotNull() & ~held_out(doc_id)).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}

@@ -584,3 +584,12 @@ def test_pipeline_stages_against_brute_force(spark):
     v = vocabulary()
     enc = tiktoken.Encoding("own", pat_str=v["pattern"], mergeable_ranks=bpe.ranks_of(v["path"]), special_tokens={})
     assert {k: r.ids for k, r in rows[5].items()} == {k: enc.encode_ordinary(r.text) for k, r in rows[4].items()}
+
+
+def test_languages_learn_from_all_documents(spark):
+    docs = spark.range(24_000).selectExpr("id AS doc_id", "concat('w', conv(id * 7919 % 100003, 10, 36)) AS text", "CAST('en' AS string) AS lang")
+    docs = docs.union(docs.selectExpr("doc_id + 24000", "text", "lang"))
+    told = [r.text.encode() for r in docs.where(~langid.held_out()).collect()]
+    assert len(told) > 20_000
+    want = sum(langid.counts(np.frombuffer(b"".join(part), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in part])])).sum(0, dtype=np.float64) for part in (told[k : k + 500] for k in range(0, len(told), 500)))
+    assert np.allclose(langid.learn(docs).chance, langid.Model({"en": want}).chance)
