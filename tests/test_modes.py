@@ -473,3 +473,13 @@ def test_features_go_no_farther_than_half_way(spark, monkeypatch):
     found = {r.qid: r.hops for r in modes.features(seeds, spark.range(25), edges).collect()}
     own = [far(0, 4), *[x for x in (far(0, 12), far(4, 12)) if x <= 6]]
     assert found == {1: sum(own) / len(own), 2: 6.0 if far(5, 14) > 6 else float(far(5, 14)), 3: 0.0} and set(steps) == {3}
+
+
+def test_lanczos_steps_send_nothing_through_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(spectral, "DENSE", 5)
+    plans = []
+    monkeypatch.setattr(spectral, "cut", lambda df, name, *more, own=spectral.cut: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), own(df, name, *more))[1])
+    edges = frame(spark, random_graph(12, 20))
+    values, _ = spectral.eigenpairs(spark.range(12), graph.laplacian(spark.range(12), edges), 3, steps=3)
+    steps = [plan for name, plan in plans if name == "lanczos" and "Join" in plan and "NestedLoop" not in plan]
+    assert len(values) == 3 and len(steps) == 3 and not any("BroadcastHashJoin" in plan for plan in steps)
