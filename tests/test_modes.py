@@ -483,3 +483,16 @@ def test_lanczos_steps_send_nothing_through_the_driver(spark, monkeypatch):
     values, _ = spectral.eigenpairs(spark.range(12), graph.laplacian(spark.range(12), edges), 3, steps=3)
     steps = [plan for name, plan in plans if name == "lanczos" and "Join" in plan and "NestedLoop" not in plan]
     assert len(values) == 3 and len(steps) == 3 and not any("BroadcastHashJoin" in plan for plan in steps)
+
+
+def test_broadcast_queries_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr("memloom.operators.vectors.BLOCK_BYTES", 8 * 4 * 10, raising=False)
+    sent, own = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda sc, value: (sent.append(len(value[0])), own(sc, value))[1])
+    v = np.random.default_rng(2).standard_normal((35, 4))
+    df = spark.createDataFrame([(k, [float(x) for x in v[k]]) for k in range(35)], "id long, v array<double>")
+    got = {}
+    for r in top_k(df.withColumnRenamed("id", "qid"), df, 3, other_than_self=True).collect():
+        got.setdefault(r.qid, {})[r["rank"]] = r.id
+    assert [[got[q][k] for k in (1, 2, 3)] for q in range(35)] == [_brute(v, None, q, 3, other=True) for q in range(35)]
+    assert len(sent) == 4 and sum(sent) == 35 and max(sent) < 25
